@@ -8,7 +8,7 @@ i + shift and j + shift on the cover, and windows of ``window`` words that are e
 cover of 6 elements, a fifth of the positions are hashed.
 
 1. Anchors: each document's anchors go to the task of their hash. Those in one document only go no further.
-2. Extension: around every shared anchor the whole windows that hold it are hashed (128 bits) and
+2. Extension: around every shared anchor the whole windows that hold it are hashed (96 bits) and
    dealt by that hash; every document but the smallest with a window loses the words under it.
 3. The documents are joined with the places of those windows and written without the words.
 
@@ -183,12 +183,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_hashes(h: np.ndarray, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return run_hashes(h, window, starts, 0), run_hashes(h, window, starts, 1)
+    return run_hashes(h, window, starts, 0), run_hashes(h, window, starts, 1) & np.uint64(0xFFFFFFFF)
 
 
 def _windows(window: int):
     length = window - COVER_PERIOD + 1
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64())])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,19 +220,36 @@ def _windows(window: int):
             a, b, d, th, p = (np.concatenate(c) for c in cols)
             rows, smallest, _ = _combined([a, b], d, th)
             a, b, d, th, p = a[rows], b[rows], d[rows], th[rows], p[rows]
-            key = np.where(smallest, a, _mix(d.view(np.uint64) * np.uint64(64) + (p % 64).view(np.uint64)))
-            state = np.where(smallest, _STATE["pending"], _STATE["known"])
-            yield pa.RecordBatch.from_arrays([_signed(key), _signed(b), pa.array(d), pa.array(th), pa.array(p * 4 + state)], schema=out)
+            # Pending windows go by their hash; known ones, as runs of neighbours, anywhere.
+            key, second, at = a[smallest], b[smallest].astype(np.int64), _place(th[smallest], p[smallest], _STATE["pending"])
+            kd, kt, kp = _runs_first(d[~smallest], th[~smallest], p[~smallest])
+            new = _firsts([kd, kt, kp - np.arange(len(kp))])
+            run = np.diff(np.r_[np.flatnonzero(new), len(kp)])
+            kd, kt, kp = kd[new], kt[new], kp[new]
+            away = _mix(kd.view(np.uint64) * np.uint64(64) + (kp % 64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.r_[key, away]), pa.array(np.r_[second, run]), pa.array(np.r_[d[smallest], kd]), pa.array(np.r_[at, _place(kt, kp, _STATE["known"])])],
+                schema=out,
+            )
 
     return of
 
 
+def _place(th: np.ndarray, pos: np.ndarray, state: int) -> np.ndarray:
+    """A text's hash (32 bits), a position in it and a state in one number."""
+    return (th << 32) | (pos * 4 + state)
+
+
+def _runs_first(d: np.ndarray, th: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((p, th, d))
+    return d[order], th[order], p[order]
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, pos) of the windows that a smaller document holds too; rows are sorted by (a, b, doc_id)."""
-    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
-    for a, b, d, th, at in _groups(batches, 2):
-        state, pos = at % 4, at // 4
-        known = state == _STATE["known"]
+    """(doc_id, th, pos, run): runs of windows that a smaller document holds too; rows are sorted by (a, b, doc_id)."""
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("run", pa.int32())])
+    for a, b, d, at in _groups(batches, 2):
+        known = at % 4 == _STATE["known"]
         wait = ~known
         ap, bp, dp = a[wait], b[wait], d[wait]
         remove = known.copy()
@@ -240,12 +257,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = _firsts([ap, bp])
             remove[np.flatnonzero(wait)] = dp > dp[np.flatnonzero(new)][np.cumsum(new) - 1]
         if remove.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[remove]), pa.array(th[remove]), pa.array(pos[remove].astype(np.int32))], schema=out)
+            run = np.where(known, b, 1)[remove].astype(np.int32)
+            pos = ((at[remove] & 0xFFFFFFFF) // 4).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(d[remove]), pa.array((at[remove] >> 32).astype(np.int32)), pa.array(pos), pa.array(run)], schema=out)
 
 
 def _kept(window: int, digest: bool):
     names = ["doc_id", "th", "n_words", "n_removed", "kept_sha256" if digest else "kept"]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +272,8 @@ def _kept(window: int, digest: bool):
             for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
                 total, removed = len(words), 0
-                at = np.array([x["pos"] for x in places or () if x["th"] == th], np.int64)
+                at = [np.arange(x["pos"], x["pos"] + x["run"]) for x in places or () if x["th"] == th]
+                at = np.concatenate(at) if at else ()
                 if len(at):
                     h, starts = word_hashes(words), np.arange(total - window + 1)
                     a, b = _window_hashes(h, window, starts)
@@ -286,7 +306,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     if window < COVER_PERIOD:
         raise ValueError(f"window: at least {COVER_PERIOD} words")
     n = partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"))
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors(window), "k long, doc_id long, at long")
     shared = anchors.repartition(n, "k").sortWithinPartitions("k", "doc_id").mapInArrow(_shared, "doc_id long, pos int")
     shared = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
@@ -294,13 +314,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     windows = (
         docs.join(shared, "doc_id", "left")
         .select("doc_id", "th", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places")
-        .mapInArrow(_windows(window), "a long, b long, doc_id long, th long, at long")
+        .mapInArrow(_windows(window), "a long, b long, doc_id long, at long")
     )
-    repeated = windows.repartition(n, "a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_repeated, "doc_id long, th long, pos int")
-    repeated = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("th", "pos")).alias("places"))
+    repeated = windows.repartition(n, "a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_repeated, "doc_id long, th int, pos int, run int")
+    repeated = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("th", "pos", "run")).alias("places"))
     last = "kept_sha256 string" if digest else "kept binary"
     return (
         docs.join(repeated, "doc_id", "left")
         .select("doc_id", "th", "text", "places")
-        .mapInArrow(_kept(window, digest), f"doc_id long, th long, n_words long, n_removed long, {last}")
+        .mapInArrow(_kept(window, digest), f"doc_id long, th int, n_words long, n_removed long, {last}")
     )
