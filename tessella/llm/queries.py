@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_codec, licenses, nearest, ngram_join, packing, quality_rules, substring_dedup, token_files
+from tessella.llm import bpe_codec, licenses, nearest, ngram_join, packing, quality_rules, secrets, substring_dedup, token_files
 from tessella.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
