@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_codec, licenses, nearest, ngram_join, packing, quality_rules, secrets, substring_dedup, token_files
+from tessella.llm import bpe_codec, licenses, nearest, ngram_join, packing, quality_rules, secrets, substring_dedup, token_files, toxicity
 from tessella.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    # The text itself need not come back from scoring.
+    bare = docs.select("doc_id", "text", toxicity.held_out().alias("held_out"))
+    return toxicity.score(bare, machine).select("doc_id", "held_out", "score", "predicted")
