@@ -193,7 +193,7 @@ def _windows(window: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 words = text.split() if text else ()
                 if len(words) < window:
                     continue
@@ -262,14 +262,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d[remove]), pa.array((at[remove] >> 32).astype(np.int32)), pa.array(pos), pa.array(run)], schema=out)
 
 
-def _kept(window: int, digest: bool):
+def _kept(window: int, digest: bool, carry: bool):
     names = ["doc_id", "th", "n_words", "n_removed", "kept_sha256" if digest else "kept"]
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 words = (text or b"").split()
                 total, removed = len(words), 0
                 at = [np.arange(x["pos"], x["pos"] + x["run"]) for x in places or () if x["th"] == th]
@@ -285,18 +285,19 @@ def _kept(window: int, digest: bool):
                     gone = np.cumsum(change)[:-1] > 0
                     removed = int(gone.sum())
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                kept = b" ".join(words)
+                kept = text if carry and not removed else b" ".join(words)
                 rows.append((doc, th, total, removed, hashlib.sha256(kept).hexdigest() if digest else kept))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[4:]], [*names, *["row"] * carry])
 
     return of
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False, carry: bool = False) -> DataFrame:
     """docs' (doc_id, text) as (doc_id, th, n_words, n_removed, kept): without the words under a window of
     ``window`` words that a document with a smaller doc_id holds too; ``kept`` (binary) joins the rest by a
-    space, and with ``digest`` is replaced by its SHA-256, ``kept_sha256``.
+    space, and with ``digest`` is replaced by its SHA-256, ``kept_sha256``. With ``carry`` the other columns of
+    docs come along as the struct ``row``, and ``kept`` is the text itself, null or not, where nothing is removed.
 
     One row for each row. Words are runs of anything but the six ASCII white-space characters, unchanged. A null
     text has no words; a text of fewer words than the window loses none. A row without doc_id keeps its words, and
@@ -306,21 +307,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     if window < COVER_PERIOD:
         raise ValueError(f"window: at least {COVER_PERIOD} words")
     n = partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"), *row)
+    row = ["row"] if carry else []
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors(window), "k long, doc_id long, at long")
     shared = anchors.repartition(n, "k").sortWithinPartitions("k", "doc_id").mapInArrow(_shared, "doc_id long, pos int")
     shared = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     # Both joins are outer ones over the same columns, so that the documents are dealt by doc_id once.
     windows = (
         docs.join(shared, "doc_id", "left")
-        .select("doc_id", "th", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places")
+        .select("doc_id", "th", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places", *row)
         .mapInArrow(_windows(window), "a long, b long, doc_id long, at long")
     )
     repeated = windows.repartition(n, "a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_repeated, "doc_id long, th int, pos int, run int")
     repeated = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("th", "pos", "run")).alias("places"))
     last = "kept_sha256 string" if digest else "kept binary"
+    if carry:
+        last += f", row {docs.schema['row'].dataType.simpleString()}"
     return (
         docs.join(repeated, "doc_id", "left")
-        .select("doc_id", "th", "text", "places")
-        .mapInArrow(_kept(window, digest), f"doc_id long, th int, n_words long, n_removed long, {last}")
+        .select("doc_id", "th", "text", "places", *row)
+        .mapInArrow(_kept(window, digest, carry), f"doc_id long, th int, n_words long, n_removed long, {last}")
     )
