@@ -23,6 +23,14 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def load() -> None:
+    """Registers all queries."""
+    from importlib import import_module
+
+    for name in ("insight_queries",):
+        import_module(f"tessella.plans.{name}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language: the share of each in rows and characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
