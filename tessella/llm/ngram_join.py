@@ -10,8 +10,10 @@ with fewer send all of theirs.
 
 In a tile every set is first compared with the smallest document only. Where that leaves several components,
 the tile's sets of different components are compared too: a bitmap of parities bounds the overlap from above,
-and what passes is intersected exactly. Pairs inside a component need no comparison, so a group of copies
-costs as many comparisons as it has members, and no link between different components is missed.
+and what passes is intersected exactly. That goes in two rounds. The first takes one pair for two components that
+would join if the bound were the truth, so each tile sends fewer pairs than it has components; the second takes
+all pairs that are still between components and not compared yet. Pairs inside a component need no comparison, so a
+group of copies costs about as many comparisons as it has members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -224,8 +226,9 @@ def _bitmaps(length: int):
     return of
 
 
-def _crossed(percent: int):
-    """Pairs of a tile's sets of different components that may be similar enough; rows are sorted by (k, x, y, side)."""
+def _crossed(percent: int, forest: bool):
+    """Pairs of a tile's sets of different components that may be similar enough; rows are sorted by (k, x, y). With
+    ``forest`` two components count as joined from their first pair on."""
 
     def compared(rows: list[tuple], square: bool) -> tuple[np.ndarray, np.ndarray] | None:
         doc, label, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
@@ -242,6 +245,10 @@ def _crossed(percent: int):
             ok = (label[others] != label[i]) & (100 * both >= percent * (n[i] + n[others] - both))
             if ok.any():
                 found = doc[others][ok]
+                if forest:
+                    joined, first = np.unique(label[others][ok], return_index=True)
+                    found = found[first]
+                    label[np.isin(label, joined)] = label[i]
                 us.append(np.maximum(found, doc[i]))
                 vs.append(np.minimum(found, doc[i]))
         return (np.concatenate(us), np.concatenate(vs)) if us else None
@@ -268,6 +275,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, length: int) ->
     return pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_links(percent, length), "u long, v long")
 
 
+def _tiles(members: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
+    """The members of tiles that hold several components. A large tile is cut into parts, and each pair of parts is a
+    tile (k, x, y) of its own."""
+    labelled = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("k", "doc", F.coalesce("component", "doc").alias("label"))
+    mixed = labelled.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    inside = labelled.join(mixed.select("k", "size"), "k").join(maps, "doc")
+    inside = inside.withColumn("parts", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("part", F.pmod(F.hash("doc"), F.col("parts")))
+    inside = inside.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    side = F.when(F.col("part") > F.col("with"), 1).otherwise(0).alias("side")
+    return inside.select("k", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), side, "doc", "label", "n", "bitmap")
+
+
 def link(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> DataFrame:
     """docs' (doc_id, text) as (doc_id, n_shingles, component_id): components of the documents whose sets of
     ``length``-word shingles have a Jaccard similarity of ``percent`` hundredths or more.
@@ -290,21 +309,14 @@ def link(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> Data
     first = written(_verified(star, texts, percent, length).unionByName(equal), "links")
     labels = components(first)
 
-    labelled = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("k", "doc", F.coalesce("component", "doc").alias("label"))
-    mixed = labelled.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    inside = labelled.join(mixed.select("k", "size"), "k").join(texts.mapInArrow(_bitmaps(length), "doc long, n long, bitmap binary"), "doc")
-    # A large tile is cut into parts, and each pair of parts is a tile of its own.
-    parts = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    inside = inside.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("doc"), F.col("parts")))
-    inside = inside.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    inside = inside.select(
-        "k", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), F.when(F.col("part") < F.col("with"), 0).when(F.col("part") > F.col("with"), 1).otherwise(0).alias("side"),
-        "doc", "label", "n", "bitmap",
-    )
-    crossed = inside.repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent), "u long, v long").distinct()
-    crossed = written(crossed.join(star, ["u", "v"], "left_anti"), "pairs")
-    second = written(_verified(crossed, texts, percent, length), "links")
-    final = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second)) if not second.isEmpty() else labels
+    maps, checked = written(texts.mapInArrow(_bitmaps(length), "doc long, n long, bitmap binary"), "bitmaps"), star
+    for forest in (True, False):
+        crossed = _tiles(members, labels, maps).repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent, forest), "u long, v long")
+        crossed = written(crossed.distinct().join(checked, ["u", "v"], "left_anti"), "pairs")
+        second = written(_verified(crossed, texts, percent, length), "links")
+        if not second.isEmpty():
+            labels = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
+        checked = checked.unionByName(crossed)
     every = rows.where(F.col("kind") == _DOC).select(F.col("doc").alias("doc_id"), F.col("other").alias("n_shingles"))
-    joined = every.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    joined = every.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
