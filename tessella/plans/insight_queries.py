@@ -73,7 +73,7 @@ def _(spark, sf):
     return insights.usage_summary(views.usage(spark, sf), ["session_id"])
 
 
-@query("agg12_usage_since", f"WITH {USAGE} SELECT count(*) AS calls, CAST(coalesce(sum(bytes_served), 0) AS BIGINT) AS bytes_served, CAST(coalesce(sum(bytes_counterfactual), 0) AS BIGINT) AS bytes_counterfactual FROM usage WHERE "at" >= (SELECT max("at") - 604800 FROM usage)")
+@query("agg12_usage_since", f"""WITH {USAGE} SELECT count(*) AS calls, CAST(coalesce(sum(bytes_served), 0) AS BIGINT) AS bytes_served, CAST(coalesce(sum(bytes_counterfactual), 0) AS BIGINT) AS bytes_counterfactual FROM usage WHERE usage."at" >= (SELECT max(u."at") - 604800 FROM usage u)""")
 def _(spark, sf):
     usage = views.usage(spark, sf)
     return insights.usage_summary(usage, since=usage.agg(F.max("at")).first()[0] - insights.WEEK)
