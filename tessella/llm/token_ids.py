@@ -6,16 +6,21 @@ import os
 import re
 from array import array
 
-#: Entries that a worker keeps at most, and the longest chunk that it keeps: about 150 MB.
-CACHE_ENTRIES = 500_000
+#: Entries of a generation that a worker keeps, of which there are two, and the longest chunk that it keeps: about
+#: 250 MB. Chunks with punctuation or capitals are kept up to VARIANT_CHARS; longer ones are put together each time.
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
+VARIANT_CHARS = 7
+
+#: Letters that lower-case one to one and have no marks to compose, and the punctuation that a word may end with.
+_WORD = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)$")
 
 #: str.split() also splits at these, which aren't white space to the library.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class ChunkEncoder:
-    """For tokenizers that drop white space and never join what it separates, normalization included."""
+    """For tokenizers that lower-case, drop white space and never join what it separates, nor letters and punctuation."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,6 +30,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -33,17 +39,35 @@ class ChunkEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [[t] if _SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        extra: dict[str, bytes] = {}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        parts: dict[str, tuple[str, str]] = {}
+        wanted = set()
+        for c in {c for chunks in split for c in chunks if c not in known}:
+            if m := _WORD.match(c):
+                parts[c] = word, end = m[1].lower(), m[2]
+                wanted.add(word)
+                wanted.add(end)
+            else:
+                wanted.add(c)
+        extra: dict[str, bytes] = {"": b""}
+        new = []
+        for c in wanted:
+            if c in known:
+                continue
+            if c in older:
+                known[c] = older[c]
+            elif c:
+                new.append(c)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for c, ids in zip(part, self._encoded(part), strict=True):
-                (known if len(c) <= CACHE_CHARS and len(known) <= 2 * CACHE_ENTRIES else extra)[c] = ids
-        if extra:
-            return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+                (known if len(c) <= CACHE_CHARS else extra)[c] = ids
+        for c, (word, end) in parts.items():
+            if c not in known:
+                ids = (known[word] if word in known else extra[word]) + (known[end] if end in known else extra[end])
+                (known if len(c) <= VARIANT_CHARS else extra)[c] = ids
+        return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
