@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import text_or_empty
-from tessella.llm.token_ids import slices
+from tessella.llm.token_ids import byte_letters, slices
 
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
@@ -38,13 +38,6 @@ _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _LATER = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next free one from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class BytePairCodec:
     """Encodes and decodes by a tokenizer file with a byte-level BPE model."""
 
@@ -58,7 +51,7 @@ class BytePairCodec:
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         letters = byte_letters()
-        self.letters, back = {b: c for b, c in letters.items()}, {c: b for b, c in letters.items()}
+        self.letters, back = letters, {c: b for b, c in letters.items()}
         self.merged: dict[tuple[int, int], int] = {}
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}

@@ -31,10 +31,16 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """The ids of one lower-case word of letters: what normalizing and splitting leave as it is, so the model alone will do."""
+        spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [[t] if _SEPARATORS.search(t) else t.split() for t in texts]
@@ -42,15 +48,18 @@ class ChunkEncoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         parts: dict[str, tuple[str, str]] = {}
-        wanted = set()
+        wanted, words = set(), set()
         for c in {c for chunks in split for c in chunks if c not in known}:
             if m := _WORD.match(c):
                 parts[c] = word, end = m[1].lower(), m[2]
-                wanted.add(word)
+                words.add(word)
                 wanted.add(end)
             else:
                 wanted.add(c)
         extra: dict[str, bytes] = {"": b""}
+        for c in words:
+            if c not in known:
+                (known if len(c) <= CACHE_CHARS else extra)[c] = older[c] if c in older else self._word(c)
         new = []
         for c in wanted:
             if c in known:
@@ -70,6 +79,13 @@ class ChunkEncoder:
         return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next free one from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
