@@ -31,7 +31,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.letters = byte_letters()
+        self.letters, self.model = byte_letters(), self.tokenizer.model
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -39,7 +39,7 @@ class ChunkEncoder:
     def _word(self, word: str) -> bytes:
         """The ids of one lower-case word of letters: what normalizing and splitting leave as it is, so the model alone will do."""
         spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -49,7 +49,8 @@ class ChunkEncoder:
         known, older = self.known, self.older
         parts: dict[str, tuple[str, str]] = {}
         wanted, words = set(), set()
-        for c in {c for chunks in split for c in chunks if c not in known}:
+        got = [list(map(known.get, chunks)) for chunks in split]
+        for c in {c for chunks, ids in zip(split, got, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}:
             if m := _WORD.match(c):
                 parts[c] = word, end = m[1].lower(), m[2]
                 words.add(word)
@@ -76,7 +77,10 @@ class ChunkEncoder:
             if c not in known:
                 ids = (known[word] if word in known else extra[word]) + (known[end] if end in known else extra[end])
                 (known if len(c) <= VARIANT_CHARS else extra)[c] = ids
-        return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
+        for chunks, ids in zip(split, got, strict=True):
+            if None in ids:
+                ids[:] = [x if x is not None else known[c] if c in known else extra[c] for c, x in zip(chunks, ids, strict=True)]
+        return [b"".join(ids) for ids in got]
 
 
 def byte_letters() -> dict[int, str]:
