@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
 _DDL = {
     "entries": "path string, parent_path string, kind string, size bigint, modified_s bigint, hint_label string, hint_cat string, deep_policy string, indexed_at bigint, first_indexed_at bigint, scan_generation bigint",
@@ -29,9 +29,11 @@ _DDL = {
     "hits": "chunk_id bigint, entry_path string, seq bigint, heading string, text string, rrf_score double",
 }
 
-SCHEMAS: dict[str, StructType] = {}
-for _name, _ddl in _DDL.items():
-    SCHEMAS[_name] = StructType.fromDDL(_ddl)
+_TYPES = {"string": StringType(), "bigint": LongType(), "double": DoubleType(), "boolean": BooleanType(), "array<float>": ArrayType(FloatType())}
+
+SCHEMAS: dict[str, StructType] = {
+    name: StructType([StructField(c.split(" ")[0], _TYPES[c.split(" ")[1]]) for c in ddl.split(", ")]) for name, ddl in _DDL.items()
+}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
