@@ -69,10 +69,7 @@ _CANDIDATE = ArrayType(StructType([StructField("how", StringType()), StructField
 def imported(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(from_path, target): files (path) that an import of a file may mean. Suffixes meet whole tails of paths, by equality."""
 
-    @F.udf(_CANDIDATE)
-    def expand(caller: str, ref: str):
-        return import_candidates(caller, ref)
-
+    expand = F.udf(lambda caller, ref: import_candidates(caller, ref), _CANDIDATE)
     found = edges.where("kind = 'imports'").select("from_path", F.explode(expand("from_path", "to_ref")).alias("c")).select("from_path", "c.how", "c.what").distinct()
     parts = F.split("path", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, -n, n), "/")))

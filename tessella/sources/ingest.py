@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
-from tessella.sources.parsers import Registry, is_binary
+from tessella.sources.parsers import Registry
 
 MOST_BYTES = 8 << 20
 #: Directories and files that are never read.
@@ -76,9 +76,9 @@ def symbols(rows: DataFrame) -> DataFrame:
     return rows.where("what = 'symbol'").select("path", F.col("a").alias("name"), F.col("b").alias("kind"), F.col("first").alias("start_line"), F.col("last").alias("end_line"))
 
 
-@F.udf("boolean")
-def binary(content: bytes) -> bool:
-    return is_binary(bytes(content or b""))
+def binary(content: Column) -> Column:
+    """A zero byte among the first 8192, unless they begin with a UTF-16 mark."""
+    return F.contains(F.substring(content, 1, 8192), F.lit(bytearray(1))) & ~F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
 
 
 def hunks(diff: DataFrame) -> DataFrame:
