@@ -18,6 +18,12 @@ def _turn(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """Ids that still have two parents, or a parent and a child: none are left once all edges make stars."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of an edge (u, v): the smallest id that is reached from it.
 
@@ -29,10 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     edges = written(edges, "edges")
     while True:
-        parents = edges.select(F.col("v").alias("u")).distinct()
-        chained = edges.join(parents, "u", "left_semi").limit(1).count()
-        doubled = edges.groupBy("u").count().where("count > 1").limit(1).count()
-        if not (chained or doubled):
+        if not _unfinished(edges).limit(1).count():
             break
         new = written(_turn(edges), "edges")
         for path in {f.rsplit("/", 1)[0] for f in edges.inputFiles()}:

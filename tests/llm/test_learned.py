@@ -76,7 +76,7 @@ def test_few_vectors_ties_and_nulls(spark):
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"spans": F.lit("mine"), "score": F.lit(1), "row": F.lit(2)})
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
