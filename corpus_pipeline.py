@@ -13,16 +13,21 @@ All but the last return the columns of documents, with n_chars brought up to dat
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import ngram_join, packing, secrets, substring_dedup, toxicity
 from tessella.llm.common import table, written
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A row's columns as one, so that none of them meets a column of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), machine)
+    scored = toxicity.score(docs.select(_whole(docs), "text"), machine)
     return scored.where("predicted = 0").select("row.*")
 
 
@@ -41,11 +46,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs).withColumn("__hit", F.size("spans") > 0)
+    found = secrets.scan(docs.select(_whole(docs), "text")).withColumn("hit", F.size("spans") > 0)
     out = secrets.redacted(found)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hit"), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None).cast("long")}
+    return out.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
