@@ -12,13 +12,15 @@ from tessella.functions import paths
 
 #: What type: may be, and the extensions that it stands for.
 TYPES = {
-    "code": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "java", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "kt", "scala", "sh", "sql", "lua"),
-    "doc": ("md", "txt", "rst", "org", "pdf", "docx", "odt", "rtf", "html", "epub"),
-    "data": ("csv", "tsv", "json", "jsonl", "parquet", "xlsx", "xml", "yaml", "yml", "toml"),
-    "image": ("png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "tiff"),
-}
+    "rust": ("rs",), "python": ("py", "pyi"), "js": ("js", "jsx", "mjs", "cjs"), "ts": ("ts", "tsx"), "go": ("go",), "java": ("java",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hh", "hxx"),
+    "web": ("html", "css", "scss", "less"), "docs": ("md", "mdx", "rst", "txt"), "config": ("toml", "yaml", "yml", "json"), "shell": ("sh", "bash", "zsh"), "ruby": ("rb",), "php": ("php",), "swift": ("swift",), "kotlin": ("kt", "kts"),
+}
 #: Phrases of questions about a whole project, and of those about code.
-BROAD = ("overview", "architecture", "how does this project", "what is this project", "what does this project", "summarize", "summary of", "high level", "high-level", "big picture", "main components", "structure of", "walk me through", "explain the codebase", "explain this codebase", "purpose of", "describe the project", "all the", "list all", "everything about")
+BROAD = (
+    "what is this project", "what's this project", "what is this repo", "what's this repo", "what is this about", "what's this about", "what does this project", "tell me about this project",
+    "summarize this project", "summarise this project", "summary of the project", "summarize the project", "summarise the project", "main themes", "overall", "high level", "high-level",
+    "what are these documents about", "across these documents", "the whole project",
+)
 CODE_TERMS = ("function", "method", "class ", "struct", "enum", "trait", "interface", "implementation", "implemented", "defined", "call site", "callers", "signature", "stack trace", "compile", "refactor")
 IDIOMS = frozenset("new default from into clone drop fmt main test init len is_empty iter next run get set build parse".split())
 
@@ -71,7 +73,7 @@ def is_code(question: str) -> bool:
 
 
 def is_idiom(name: str) -> bool:
-    return name in IDIOMS or bool(re.match(r"(get|set|is|has|with|as|to|into|from)_", name))
+    return name.lower() in IDIOMS or name.lower().startswith(("with_", "set_", "get_", "is_", "to_", "from_", "on_", "try_"))
 
 
 def seconds(duration: str) -> int | None:

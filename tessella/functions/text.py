@@ -75,21 +75,22 @@ def is_stub(text: Column | str) -> Column:
 
 #: Kind and pattern of secrets, in the order in which they are replaced.
 SECRETS = (
-    ("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("private-key", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----"),
     ("aws-key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
-    ("gitlab-token", r"\bglpat-[A-Za-z0-9_-]{20,}"),
-    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
-    ("stripe-key", r"\b[sr]k_(live|test)_[A-Za-z0-9]{16,}\b"),
-    ("npm-token", r"\bnpm_[A-Za-z0-9]{36}\b"),
-    ("sendgrid-key", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
-    ("google-key", r"\bAIza[0-9A-Za-z_-]{35}"),
-    ("google-oauth", r"\bya29\.[0-9A-Za-z_-]{20,}"),
+    ("slack-token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"),
+    ("google-key", r"\bAIza[0-9A-Za-z_\-]{35}\b"),
+    ("openai-key", r"\bsk-(?:proj-)?[A-Za-z0-9_\-]{20,}\b"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("stripe-key", r"\b(?:[sr]k_(?:live|test)|whsec)_[A-Za-z0-9]{10,}\b"),
+    ("gitlab-token", r"\bglpat-[A-Za-z0-9_-]{20,}\b"),
+    ("npm-token", r"\bnpm_[A-Za-z0-9]{30,}\b"),
+    ("sendgrid-key", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b"),
+    ("google-oauth", r"\bya29\.[A-Za-z0-9_-]{20,}"),
+    ("url-credentials", r"""(?i)\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@[^\s"'<>)\]]+"""),
 )
-#: A user and a password in an address, and a literal that is given to a name.
-URL_SECRET = r"(://[^/\s:@]+:)[^/\s:@]+(@)"
-ASSIGNMENT = r"""(?i)\b((?:api[_-]?key|secret|token|password|passwd|access[_-]?key)["']?\s*[:=]\s*)["']?[A-Za-z0-9_/+=.-]{16,}["']?"""
+#: Fixed value: a literal that is given to a name; the name and what follows it stay.
+ASSIGNMENT = r"""(?i)\b(api[_-]?key|secret|token|password|passwd|access[_-]?key)\b(\s*[:=]\s*)['"]?[A-Za-z0-9_\-./+]{12,}['"]?"""
 
 
 def redacted(text: Column | str) -> Column:
@@ -97,8 +98,7 @@ def redacted(text: Column | str) -> Column:
     t = _c(text)
     for kind, pattern in SECRETS:
         t = F.regexp_replace(t, pattern, f"[REDACTED-{kind}]")
-    t = F.regexp_replace(t, URL_SECRET, "$1[REDACTED-url-password]$2")
-    return F.regexp_replace(t, ASSIGNMENT, "$1[REDACTED-secret]")
+    return F.regexp_replace(t, ASSIGNMENT, "$1$2[REDACTED-secret]")
 
 
 def redactions(text: Column | str) -> Column:

@@ -19,7 +19,7 @@ COMMON = 25
 TIERS = ("same_file", "same_dir", "import", "bare")
 #: Endings that a relative import may stand for, and parts of paths that hold others' code.
 JS_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
-NOISE = ("/node_modules/", "/vendor/", "/target/", "/dist/", "/build/", "/.git/", "/third_party/", "/site-packages/", "/__pycache__/")
+NOISE = ("/vendor/", "/node_modules/", "/target/", "/dist/", "/assets/vendor/", "/.next/", "/build/", ".xcodeproj", "/DerivedData/", "/Pods/", ".min.js", ".bundle.js")
 
 
 def outgoing(edges: DataFrame, path: str) -> DataFrame:
@@ -116,7 +116,7 @@ def ambiguous(edges: DataFrame) -> DataFrame:
 
 
 def noisy(path: str):
-    p = F.concat(F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.lit("/"))
+    p = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
     return F.greatest(*[F.contains(p, F.lit(x)) for x in NOISE])
 
 

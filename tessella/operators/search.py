@@ -19,10 +19,10 @@ K1, B = 1.2, 0.75
 
 #: Words that a query loses, unless it has no others.
 STOPWORDS = frozenset(
-    "a an and are as at be been but by can do does for from had has have how i if in into is it its me my of on or our so that the their this to was we were what when where which who why will with you".split()
+    "a an and are as at be by can could do does for from how i in into is it its me my not of on or our should that the this to was we what when where which who why will with would you your".split()
 )
 #: Extensions of code, and the parts of a question that ask for it.
-CODE = ("rs", "py", "js", "jsx", "ts", "tsx", "go", "java", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "kt", "scala", "sh", "sql", "lua")
+CODE = ("rs", "py", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go", "java", "c", "h", "cpp", "cc", "rb", "php", "swift", "kt", "scala", "cs", "sh", "lua")
 
 
 def query_terms(question: str) -> tuple[list[str], list[str]]:

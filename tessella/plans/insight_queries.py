@@ -172,7 +172,7 @@ def _(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", text.xml_escaped("html", True).alias("escaped"))
 
 
-@query("strf7_redactions", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\b((?:api[_-]?key|secret|token|password|passwd|access[_-]?key)["'']?\s*[:=]\s*)["'']?[A-Za-z0-9_/+=.-]{16,}["'']?')) AS BIGINT) AS n FROM documents""")
+@query("strf7_redactions", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\b(api[_-]?key|secret|token|password|passwd|access[_-]?key)\b(\s*[:=]\s*)[''"]?[A-Za-z0-9_\-./+]{12,}[''"]?')) AS BIGINT) AS n FROM documents""")
 def _(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", text.redactions("text").alias("n"))
 
