@@ -7,31 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.shared import cut
+from tessella.sources.shared import cut, stored
 
-#: Up to so many different vectors all pairs are compared; beyond, those that share a band of a signature.
-EXACT = 2000
-BANDS, BITS, SEED = 8, 12, 0x1DE2A5EED0000024
+#: Rows of a part: two parts at most are compared at once, so memory is bounded at every size.
 TILE = 1024
 
-
-def split_mix(state: int) -> tuple[int, int]:
-    """The next state and number of a 64-bit generator."""
-    state = (state + 0x9E3779B97F4A7C15) & (1 << 64) - 1
-    z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
-    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & (1 << 64) - 1
-    return state, z ^ (z >> 31)
-
-
-def hyperplanes(dim: int) -> np.ndarray:
-    """BANDS * BITS planes with coordinates in -1 to 1, always the same for a dimension."""
-    state, out = SEED, np.empty(BANDS * BITS * dim)
-    for i in range(len(out)):
-        state, z = split_mix(state)
-        out[i] = (z >> 11) / (1 << 53) * 2 - 1
-    return out.reshape(BANDS * BITS, dim)
-
-
 _PAIR = "a string, b string, similarity double"
 
 
@@ -41,53 +21,47 @@ def _compared(least: float):
         n = np.linalg.norm(x, axis=1)
         x = x / np.where(n > 0, n, 1)[:, None]
         side, path = pdf["side"].to_numpy(), pdf["path"].to_numpy()
-        square = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
-        i, j = np.nonzero(np.triu(x @ x.T >= least, 1) if square else (x @ x.T >= least) & (side[:, None] == 0) & (side[None, :] == 1))
+        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
+            i, j = np.nonzero(np.triu(x @ x.T >= least, 1))
+        else:
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            i, j = np.nonzero(x[one] @ x[two].T >= least)
+            i, j = one[i], two[j]
         s = (x[i] * x[j]).sum(1)
         return pd.DataFrame({"a": np.minimum(path[i], path[j]), "b": np.maximum(path[i], path[j]), "similarity": s})
 
     return of
 
 
-def _tiled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (keys, path, v) as tiles (keys, x, y): a large group in parts, a tile for each two parts."""
-    size = rows.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    rows = rows.join(size, keys).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows (path, v) as tiles (x, y): in parts, a tile for each two parts."""
+    size = rows.agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    rows = rows.crossJoin(F.broadcast(size)).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    return rows.select(*keys, F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), (F.col("part") > F.col("with")).cast("int").alias("side"), "path", "v")
+    return rows.select(F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), (F.col("part") > F.col("with")).cast("int").alias("side"), "path", "v")
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) with a < b by path. Equal vectors count as one, at their first path; see ``clusters``."""
+    """(a, b, similarity) with a < b by path. Equal vectors count as one, at their first path; see ``clusters``.
+
+    All pairs are compared at every size, as no candidate search keeps each pair at a cosine as low as 0.4: the work
+    grows with the square of the different vectors, in blocks of bounded memory.
+    """
     one = cut(vectors.where("embedding IS NOT NULL").groupBy(F.col("embedding").alias("v")).agg(F.min("path").alias("path")))
-    first = one.first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], _PAIR)
-    if one.count() <= EXACT:
-        keyed, keys = one.withColumn("band", F.lit(0)), ["band"]
-    else:
-        planes = hyperplanes(len(first["v"]))
-
-        @F.pandas_udf("array<int>")
-        def signature(v: pd.Series) -> pd.Series:
-            bits = np.stack(v.to_numpy()).astype(float) @ planes.T >= 0
-            return pd.Series((bits.reshape(len(v), BANDS, BITS) @ (1 << np.arange(BITS)[::-1])).astype(np.int32).tolist())
-
-        keyed, keys = one.select("path", "v", F.posexplode(signature("v")).alias("band", "key")), ["band", "key"]
-    pairs = _tiled(keyed, keys).groupBy(*keys, "x", "y").applyInPandas(_compared(least), _PAIR)
+    pairs = _tiled(one).groupBy("x", "y").applyInPandas(_compared(least), _PAIR)
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(path, cluster): the smallest path that each is linked with, by passing labels on until none changes."""
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.select(F.col("a").alias("path")).distinct().withColumn("cluster", F.col("path")))
+    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.select(F.col("a").alias("path")).distinct().withColumn("cluster", F.col("path")))
     while True:
         near = both.join(labels.withColumnRenamed("path", "b"), "b").groupBy(F.col("a").alias("path")).agg(F.min("cluster").alias("c"))
         low = labels.join(near, "path").select("path", F.least("cluster", "c").alias("c"), "cluster")
         # The label of a label: halves what is left of long chains.
         jump = low.join(labels.select(F.col("path").alias("c"), F.col("cluster").alias("d")), "c").select("path", F.least("c", "d").alias("cluster"), (F.least("c", "d") != F.col("cluster")).alias("moved"))
-        new = cut(jump)
+        new = stored(jump)
         labels = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return labels

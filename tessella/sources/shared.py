@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint: in spark.checkpoint.dir, or where it is unset on a single machine, in a folder set here."""
+def _folder(df: DataFrame) -> str:
+    """spark.checkpoint.dir, or where it is unset on a single machine, a folder set here."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
@@ -17,4 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder."""
+    _folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder. Its size is that of its files; a checkpoint keeps the estimate of its plan,
+    and over many joins of an iteration that grows until planning takes longer than the work."""
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

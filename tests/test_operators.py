@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import paths, predicates, text
-from tessella.operators import chunking, evaluation, export, graph, insights, search, state, tree
+from tessella.operators import chunking, evaluation, export, graph, insights, search, similar, state, tree
 from tessella.schema import SCHEMAS, empty
 
 
@@ -170,3 +170,16 @@ def test_export(spark):
     snap = export.snapshot(nodes, edges(spark, [("/a", "calls", "f")]), spark.createDataFrame([("dir", "/a", 2.0)], "target_kind string, target string, weight double"))
     assert export.restored(snap, "edges", "from_path string, kind string, to_ref string").first() == ("/a", "calls", "f")
     assert all(empty(spark, n).schema == s for n, s in SCHEMAS.items())
+
+
+def test_similar_pairs_are_whole_beyond_2000_vectors(spark):
+    x = np.random.default_rng(5).standard_normal((2300, 64)).round(3)
+    df = spark.createDataFrame([(f"/v/{i:05d}", v) for i, v in enumerate(x.tolist())], "path string, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.triu(unit @ unit.T, 1)
+    want = {(f"/v/{i:05d}", f"/v/{j:05d}"): s[i, j] for i, j in zip(*np.nonzero(s >= 0.4), strict=True)}
+    got = {(r.a, r.b): r.similarity for r in similar.similar_pairs(df, 0.4).collect()}
+    assert len(want) > 1000 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {r.path for r in similar.clusters(df, 0.4).collect()} == {p for k in want for p in k}
+    assert similar.similar_pairs(df.limit(0), 0.4).count() == 0
