@@ -56,7 +56,7 @@ artistic-2.0 | artistic license | artistic license (version |v )?v?2( 0)? | arti
 bsl-1.0 | boost software license | boost software license (version |v )?v?1 0 | bsl 1 0 | boost org license 1 0
 busl-1.1 | business source license | business source license (version |v )?v?1 1 | busl 1 1 | mariadb com bsl11
 zlib | zlib | zlib( libpng)? license | zlib | zlib net zlib license
-libpng | libpng | (png reference library|libpng) license | libpng 2 0 | libpng org pub png src libpng license
+libpng | libpng/png reference library | (png reference library|libpng) license | libpng 2 0 | libpng org pub png src libpng license
 unlicense | unlicense | (the )?unlicense( license)? | unlicense | unlicense org
 unlicense-text | free and unencumbered software | free and unencumbered software released into the public domain | unlicense text | choosealicense com licenses unlicense
 wtfpl | what the | do what the \w+ you want to public license | wtfpl | wtfpl net
@@ -81,7 +81,7 @@ odbl-1.0 | open database license | (odc |open data commons )?open database licen
 odc-by-1.0 | open data commons attribution | open data commons attribution license( v1 0| 1 0)? | odc by 1 0 | opendatacommons org licenses by
 ofl-1.1 | open font license | (sil )?open font license (version |v )?v?1 1 | ofl 1 1 | scripts sil org ofl
 psf-2.0 | python software foundation license | python software foundation license (version |v )?v?2 | psf 2 0 | docs python org license
-postgresql | postgresql license | postgresql licen[cs]e | postgresql | opensource org licenses postgresql
+postgresql | postgresql licen | postgresql licen[cs]e | postgresql | opensource org licenses postgresql
 php-3.01 | php license | php license (version |v )?v?3 01 | php 3 01 | php net license 3 01
 ruby | ruby license | ruby license | ruby | ruby lang org license
 openssl | openssl license | openssl license | openssl | openssl org source license
@@ -98,8 +98,12 @@ KINDS = {"tag": (1, 0.99), "grant": (2, 0.95), "name": (3, 0.8), "address": (4,
 
 _GRANT = r"(licen[sc]ed|released|distributed|available|provided|published|redistribute it( and or modify it)?) (under|by) (the terms of )?(either )?(the )?"
 
-#: Every text with a keyword of a rule has one of these, in the source's letters; [S] is a separator.
-ANCHORS = ("licen[sc]", "spdx", "creativecommons", "cc[S]+by", "cc0", "public[S]+domain", "copyright", "gpl", r"permission[S]+", "redistribution[S]+", "unencumbered", "bsd[S]+[0-9]", "[0-9][S]+clause")
+#: Every text that a rule's pattern matches has one of these, in the source's letters; [S] is a separator. A test goes
+#: through all alternatives of all patterns.
+ANCHORS = (
+    "licen[sc]", "spdx", "creative[S]*commons", "cc[S]+by", "cc0", "public[S]+domain", "copyright", "gpl", r"permission[S]+", "redistribution[S]+", "unencumbered", "bsd[S]+[0-9]", "[0-9][S]+clause",
+    "zero[S]+clause", "mit[S]+no[S]+attribution", "gnu[S]+org", "mozilla[S]+org", "eclipse[S]+org", "glassfish[S]+java", "joinup[S]+ec", "mariadb[S]+com", "wtfpl", "scripts[S]+sil", "otm[S]+illinois",
+)
 
 
 def rules() -> list[tuple[int, str, list[str], str, float]]:

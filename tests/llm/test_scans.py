@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -44,6 +45,45 @@ def test_license_rules_and_suppression(spark):
         assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] and b[2] <= a[2] for a in spans for b in spans)
 
 
+def said(pattern):
+    """Texts that a rule's pattern matches: all its alternatives, with and without each part that may be missing."""
+
+    def of(parsed):
+        out = [""]
+        for op, a in parsed:
+            kind = str(op)
+            if kind == "IN":
+                got = [chr(x[1]) for x in a if str(x[0]) == "LITERAL"] or ["x"]
+            elif kind == "BRANCH":
+                got = [x for b in a[1] for x in of(b)]
+            elif kind == "MAX_REPEAT":
+                got = ["".join(c) for n in sorted({a[0], min(int(a[1]), a[0] + 1)}) for c in itertools.product(of(a[2]), repeat=n)]
+            else:
+                got = {"LITERAL": lambda: [chr(a)], "ANY": lambda: ["x"], "SUBPATTERN": lambda: of(a[3]), "ASSERT": lambda: [""]}[kind]()
+            out = [x + y for x in out for y in got]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_license_prefilters_keep_all_that_rules_match():
+    anchors = re.compile("(?i)" + "|".join(license_rules.ANCHORS).replace("[S]", licenses._SEPARATOR))
+    for _, label, keywords, pattern, _ in license_rules.rules():
+        for text in said(pattern):
+            assert re.search(pattern, f" {text} "), (label, text)
+            assert any(k in text for k in keywords), (label, text)
+            assert anchors.search(text) and anchors.search(text.replace(" ", "/").upper()), (label, text)
+
+
+def test_license_names_without_the_word(spark):
+    texts = {
+        "Creative Commons Attribution 4.0 International": "cc-by-4.0", "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa-3.0", "Zero-Clause BSD": "bsd-0-clause", "MIT No Attribution": "mit-0",
+        "http://mozilla.org/MPL/2.0/": "mpl-2.0", "eclipse.org/legal/epl-v10.html": "epl-1.0", "scripts.sil.org/OFL": "ofl-1.1", "PostgreSQL Licence": "postgresql", "PNG Reference Library License": "libpng",
+    }
+    rows = licenses.report(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == list(texts.values()) and all(r.score > 0 for r in rows)
+
+
 def test_license_empty(spark):
     assert licenses.report(licenses.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
