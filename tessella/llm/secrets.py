@@ -29,7 +29,9 @@ ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-_CANDIDATE = f"[A-Za-z0-9+/=_-]{{{LEAST},}}"
+#: '=' pads the end only, so one in front of a value (NAME=value) begins a new candidate. The look ahead spares short words;
+#: what it lets through is held against LEAST with its padding.
+_CANDIDATE = f"(?=[A-Za-z0-9+/=_-]{{{LEAST}}})[A-Za-z0-9+/_-]+=*"
 #: Encoding, pattern of the strings in it, alphabet, and the chance that two characters of ordinary text
 #: in it are equal. The first that fits is taken.
 ENCODINGS = (
@@ -122,7 +124,8 @@ def _tests(s: Column) -> Column:
 
 def _discoveries(text: Column) -> Column:
     """Spans of the candidates that are random, by Benjamini and Hochberg over those of one document."""
-    tried = F.filter(F.transform(_matches(text, _CANDIDATE, 0), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _tests(m["part"]).alias("p"))), lambda m: m["p"].isNotNull())
+    long = F.filter(_matches(text, _CANDIDATE, 0), lambda m: F.length(m["part"]) >= LEAST)
+    tried = F.filter(F.transform(long, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _tests(m["part"]).alias("p"))), lambda m: m["p"].isNotNull())
 
     def kept(all_: Column) -> Column:
         ordered = F.sort_array(F.transform(all_, lambda m: m["p"]["ordinary"]))

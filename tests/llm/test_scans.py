@@ -126,6 +126,18 @@ def test_redaction(spark):
     assert out[5].startswith("key [REDACTED-random] but inter") and out[6] == "[REDACTED-assign] " * 300 + "x"
 
 
+def test_secrets_behind_a_name_and_equals_sign(spark):
+    rng = random.Random(9)
+    data = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    values = ["9aQx0LkT7vYc2WmZ5nRbE8uHsJ3dFg6p", *[base64.b64encode(data(n)).decode() for n in (30, 31, 32)], base64.b32encode(data(31)).decode(), base64.b32encode(data(34)).decode()]
+    fronts = ["AUTH: ", "PRIVATE_KEY=", "AWS_SECRET_ACCESS_KEY=", "export A=B K=", "a="]
+    rows = [(i * 10 + j, f"{f}{v} end") for i, v in enumerate(values) for j, f in enumerate(fronts)]
+    scanned = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: r.spans for r in secrets.report(scanned).collect()}
+    assert spans == {i * 10 + j: f"random:{len(f)}:{len(f) + len(v)}" for i, v in enumerate(values) for j, f in enumerate(fronts)}
+    assert all(r.text.endswith("[REDACTED-random] end") for r in secrets.redacted(scanned).collect())
+
+
 def brute_quality(text):
     text = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
