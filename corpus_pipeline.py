@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences, in stages that each take what the one before has kept.
 
 1. toxicity: documents that the factorization machine rejects go.
-2. ngram_join: of each component of near copies the document with the smallest id stays.
+2. ngram_join: of each component of near copies (five-word shingles, a Jaccard similarity of 0.8 or more) the document with the smallest id stays.
 3. substring_dedup: words under a window of 50 words that an earlier document holds too go, and so do
    documents that have no other words.
 4. secret_scan: every secret is replaced by a marker.
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from tessella.llm import ngram_join, packing, secrets, substring_dedup, toxicity
 from tessella.llm.common import table, written
 
+#: Near copies: so many hundredths of their shingles of so many words are common. op8's contract (4 and 85) binds only op8.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _whole(docs: DataFrame) -> Column:
     """A row's columns as one, so that none of them meets a column of an operator."""
@@ -32,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = ngram_join.link(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = ngram_join.link(docs, percent=NEAR_PERCENT, length=NEAR_WORDS).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from tessella.llm import ngram_join, substring_dedup
 from tessella.llm.components import components
 
@@ -75,6 +76,30 @@ def shingles(t):
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
 
 
+def shingles_of(t, length):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + length]) for i in range(len(w) - length + 1)} if len(w) >= length else ({tuple(w)} if w else set())
+
+
+def brute_kept(texts, length, percent):
+    """Of each component of near copies the first; texts by id, in order."""
+    sets, label = {d: shingles_of(t, length) for d, t in texts.items()}, {d: d for d in texts}
+    for d, s in sets.items():
+        for e, t in sets.items():
+            if e < d and s and t and label[d] != label[e] and 100 * (both := len(s & t)) >= percent * (len(s) + len(t) - both):
+                low, high = sorted((label[d], label[e]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return {d for d, v in label.items() if d == v}
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark, sf):
+    texts = dict(enumerate(near_rows()))
+    docs = spark.createDataFrame([(d, t, "x") for d, t in texts.items()], "doc_id long, text string, component_id string").repartition(4)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()]
+    want = brute_kept(texts, 5, 80)
+    assert sorted(kept) == sorted(want) and len(want) < len(brute_kept(texts, 4, 85))
+
+
 @pytest.mark.parametrize("tile", [7, 2048])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(ngram_join, "TILE", tile)
