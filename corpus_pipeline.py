@@ -67,7 +67,8 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Neither the learned scores nor the packing can be said in SQL; tests hold the stages against brute force.
+#: Neither the learned scores nor the packing can be said in SQL. On the smallest table a test holds near copies and repeated
+#: passages against brute force, and toxicity and redaction against their operators' own output.
 ORACLE_SQL = None
 
 

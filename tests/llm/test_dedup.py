@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import ngram_join, substring_dedup
+from tessella.llm import ngram_join, secrets, substring_dedup, toxicity
+from tessella.llm.common import written
 from tessella.llm.components import components
 
 
@@ -132,3 +134,43 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)]
     got = dict(components(spark.createDataFrame(chain, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf):
+    """Ids and texts that each stage keeps, on the smallest table and two rows with secrets, of which it has none. Near copies
+    and passages are held against brute force, toxicity and spans against their operators' own output."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = {1_000_000: "one token=abcdefgh1 two AKIAABCDEFGHIJKL1 three", 1_000_001: "set PRIVATE_KEY=9aQx0LkT7vYc2WmZ5nRbE8uHsJ3dFg6p end"}
+    docs = docs.unionByName(spark.createDataFrame([(d, t, "en", "x", len(t)) for d, t in planted.items()], "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(k) for c, k in docs.dtypes]))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, given):
+        out = written(stages[name](spark, given, sf), name)
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    before = {r.doc_id: r.text for r in docs.collect()}
+    scored = toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))).select("doc_id", "predicted").collect()
+    now, texts = step("toxicity", docs)
+    assert texts == {r.doc_id: before[r.doc_id] for r in scored if not r.predicted}
+
+    now, kept = step("ngram_join", now)
+    near = brute_kept(dict(sorted(texts.items())), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
+    assert kept == {d: texts[d] for d in near} and len(kept) < len(texts)
+
+    now, passages = step("substring_dedup", now)
+    brute = {d: (n, gone, digest) for d, n, gone, digest in brute_substrings(list(kept.items()), 50)}
+    assert passages.keys() == {d for d, (n, gone, _) in brute.items() if not gone or gone < n}
+    for d, text in passages.items():
+        assert text == kept[d] if not brute[d][1] else hashlib.sha256(" ".join(text.split()).encode()).hexdigest() == brute[d][2]
+
+    spans = {r.doc_id: [(x.start, x.end, x.kind) for x in r.spans] for r in secrets.scan(now).collect()}
+    now, clean = step("secret_scan", now)
+    for d, text in passages.items():
+        want, at = "", -1
+        for start, end, kind in spans[d]:
+            if start > at:
+                want += text[max(at, 0) : start] + f"[REDACTED-{kind}]"
+            at = max(at, end)
+        assert clean[d] == want + text[max(at, 0) :]
+    assert clean.keys() == passages.keys()
+    assert [clean[d] for d in planted] == ["one [REDACTED-assign] two [REDACTED-access] three", "set PRIVATE_KEY=[REDACTED-random] end"]
