@@ -320,3 +320,35 @@ def link(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> Data
     every = rows.where(F.col("kind") == _DOC).select(F.col("doc").alias("doc_id"), F.col("other").alias("n_shingles"))
     joined = every.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _named(length: int):
+    """Rows with a digest of their set; those without words go."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(text, length) for text in b.column(1).to_pylist()]
+            names = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary())], ["doc", "text", "name"])
+            yield out.filter(out.column(2).is_valid())
+
+    return of
+
+
+def pairs(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> DataFrame:
+    """docs' (doc_id, text) as (u, v), u > v: all pairs of documents whose sets are similar enough and differ.
+
+    Of documents with equal sets the smallest doc_id stands for all. Rows without doc_id are in no pair. Unlike ``link`` this
+    compares pairs inside a component too, so a group of different near copies costs the square of its size.
+    """
+    spark = docs.sparkSession
+    n = partitions(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text")).where("doc IS NOT NULL")
+    least = docs.mapInArrow(_named(length), "doc long, text binary, name binary").groupBy("name").agg(F.min(F.struct("doc", "text")).alias("least"))
+    texts = written(least.select("least.doc", "least.text"), "texts")
+    rows = texts.mapInArrow(_emitted(length, percent), _KEPT).repartition(n, "k").sortWithinPartitions("k").mapInArrow(_met, _KEPT)
+    members = written(rows.where(F.col("kind") == _MEMBER).select("k", "doc", "other"), "tiles").select("k", "doc")
+    maps = written(texts.mapInArrow(_bitmaps(length), "doc long, n long, bitmap binary"), "bitmaps")
+    apart = spark.createDataFrame([], "id long, component long")
+    met = _tiles(members, apart, maps).repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent, False), "u long, v long")
+    return _verified(written(met.distinct(), "pairs"), texts, percent, length).distinct()

@@ -126,6 +126,20 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, tile):
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(1, None)]
 
 
+@pytest.mark.parametrize(("length", "percent"), [(4, 85), (5, 80)])
+def test_ngram_pairs_equal_brute_force(spark, length, percent):
+    texts = near_rows()
+    first = {}
+    for i, t in enumerate(texts):
+        if s := frozenset(shingles_of(t, length)):
+            first.setdefault(s, i)
+    want = {(max(i, j), min(i, j)) for s, i in first.items() for t, j in first.items() if i > j and 100 * (both := len(s & t)) >= percent * (len(s) + len(t) - both)}
+    rows = [*enumerate(texts), (None, texts[0]), (7, texts[7])]
+    got = [(r.u, r.v) for r in ngram_join.pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), percent, length).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+    assert ngram_join.pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
