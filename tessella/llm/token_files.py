@@ -110,19 +110,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     all others; rows with one doc_id follow each other in the order of their texts. Documents are dealt by ranges of
     doc_id, so a task holds a run of them; a segment never spans two tasks. Other columns are ignored.
     """
-    end = struct.pack("<I", end_id)
     out = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids_before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("payload", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = chunk_encoder(tokenizer), TaskContext.get().partitionId()
         seq = before = held = 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
 
         def segment() -> pa.RecordBatch:
             nonlocal seq, before, held
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            lengths = np.array([len(x) for x in ids], np.int64)
+            flat = np.concatenate(ids)
             names = b"".join(struct.pack("<?q", d is not None, d or 0) for d in doc_ids)
             row = [part, seq, before, len(ids), len(flat), names, pack(flat, lengths)]
             seq, before, held = seq + 1, before + len(flat), 0
@@ -133,10 +132,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
         for b in batches:
             docs_here, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in slices(texts):
-                for doc, x in zip(docs_here[i:j], own.encode(texts[i:j]), strict=True):
-                    ids.append(x + end)
+                coded, bounds = own.encode(texts[i:j], end_id)
+                bounds = bounds.tolist()
+                for doc, first, last in zip(docs_here[i:j], bounds, bounds[1:], strict=False):
+                    ids.append(coded[first:last])
                     doc_ids.append(doc)
-                    held += len(x) // 4 + 1
+                    held += last - first
                     if held >= SEGMENT_IDS:
                         yield segment()
         if ids:

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk of a worker encoded once."""
+"""Token ids of whole texts by the tokenizers library, each distinct token of a worker encoded once."""
 
 from __future__ import annotations
 
@@ -6,21 +6,33 @@ import os
 import re
 from array import array
 
-#: Entries of a generation that a worker keeps, of which there are two, and the longest chunk that it keeps: about
-#: 250 MB. Chunks with punctuation or capitals are kept up to VARIANT_CHARS; longer ones are put together each time.
-CACHE_ENTRIES = 600_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Entries of a generation that a worker keeps, of which there are two, and the longest token that it keeps: about 170 MB.
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
-VARIANT_CHARS = 7
 
-#: Letters that lower-case one to one and have no marks to compose, and the punctuation that a word may end with.
-_WORD = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)$")
+#: Characters that lower-case one to one and have no marks to compose: printable ASCII, its white space and Latin-1 letters.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+
+#: What the vocabulary's own pattern splits lower-case texts of these characters into.
+_TOKENS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+")
+
+#: Punctuation that ends a chunk is a token of its own; parted from its word beforehand, it makes fewer distinct chunks.
+_ENDING = r"([a-zß-öø-ÿ0-9])([.,;:!?]+)([\t-\r ]|$)"
 
 #: str.split() also splits at these, which aren't white space to the library.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class ChunkEncoder:
-    """For tokenizers that lower-case, drop white space and never join what it separates, nor letters and punctuation."""
+    """For tokenizers that lower-case, split by ``_TOKENS``'s pattern, drop white space and merge bytes within a token only.
+
+    Plain texts are split at white space by Arrow, and each distinct chunk of a call is looked up once. Other texts are split
+    here: their plain chunks go the same way, and the rest to the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,54 +45,72 @@ class ChunkEncoder:
         self.older: dict[str, bytes] = {}
         self.letters, self.model = byte_letters(), self.tokenizer.model
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one lower-case word of letters: what normalizing and splitting leave as it is, so the model alone will do."""
-        spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [[t] if _SEPARATORS.search(t) else t.split() for t in texts]
+    def _kept(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= CACHE_CHARS:
+            self.known[text] = ids
+        return ids
+
+    def _token(self, token: str) -> bytes:
+        """The ids of one token of a plain text: what normalizing and splitting leave as it is, so the model alone will do."""
+        if (ids := self.known.get(token)) is not None:
+            return ids
+        if (ids := self.older.get(token)) is None:
+            spelled = token if token.isascii() else "".join([self.letters[b] for b in token.encode()])
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return self._kept(token, ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a lower-case chunk of a plain text."""
+        return b"".join(map(self._token, _TOKENS.findall(chunk)))
+
+    def _strange(self, text: str) -> bytes:
+        """The ids of a text that isn't plain."""
+        out = []
+        for c in [text] if _SEPARATORS.search(text) else text.split():
+            if _plain(c):
+                out.append(self._chunk(c.lower()))
+                continue
+            if (ids := self.known.get(c)) is None and (ids := self.older.get(c)) is None:
+                ids = array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
+            out.append(self._kept(c, ids))
+        return b"".join(out)
+
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain texts, and how many each has."""
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(pa.array(texts, pa.string()), _ENDING, r"\1 \2\3"))
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, distinct))
+        ids = [self._chunk(c) if x is None else x for c, x in zip(distinct, ids, strict=True)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = coded.indices.to_numpy()
+        size = each[at]
+        ends = np.cumsum(size)
+        places = np.repeat((np.cumsum(each) - each)[at] - (ends - size), size)
+        places += np.arange(len(places))
+        bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        return flat[places], np.diff(bounds)
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, unsigned 32-bit, and where each text's begin, and one beyond the last's. ``end_id`` follows each."""
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        parts: dict[str, tuple[str, str]] = {}
-        wanted, words = set(), set()
-        got = [list(map(known.get, chunks)) for chunks in split]
-        for c in {c for chunks, ids in zip(split, got, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}:
-            if m := _WORD.match(c):
-                parts[c] = word, end = m[1].lower(), m[2]
-                words.add(word)
-                wanted.add(end)
-            else:
-                wanted.add(c)
-        extra: dict[str, bytes] = {"": b""}
-        for c in words:
-            if c not in known:
-                (known if len(c) <= CACHE_CHARS else extra)[c] = older[c] if c in older else self._word(c)
-        new = []
-        for c in wanted:
-            if c in known:
-                continue
-            if c in older:
-                known[c] = older[c]
-            elif c:
-                new.append(c)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, ids in zip(part, self._encoded(part), strict=True):
-                (known if len(c) <= CACHE_CHARS else extra)[c] = ids
-        for c, (word, end) in parts.items():
-            if c not in known:
-                ids = (known[word] if word in known else extra[word]) + (known[end] if end in known else extra[end])
-                (known if len(c) <= VARIANT_CHARS else extra)[c] = ids
-        for chunks, ids in zip(split, got, strict=True):
-            if None in ids:
-                ids[:] = [x if x is not None else known[c] if c in known else extra[c] for c, x in zip(chunks, ids, strict=True)]
-        return [b"".join(ids) for ids in got]
+        plain = list(map(_plain, texts))
+        ids, size = self._looked_up([t.lower() for t, p in zip(texts, plain, strict=True) if p])
+        if not all(plain):
+            parts = iter(np.split(ids, np.cumsum(size)[:-1]) if len(size) else [])
+            parts = [next(parts) if p else np.frombuffer(self._strange(t), "<u4") for t, p in zip(texts, plain, strict=True)]
+            ids, size = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        if end_id is not None:
+            ids, bounds = np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+        return ids, bounds
+
+
+def _plain(text: str) -> bool:
+    """Whether a text has plain characters only, and nothing like a special token."""
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
 
 
 def byte_letters() -> dict[int, str]:
@@ -100,7 +130,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[str], chars: int = 4_000_000):
+def slices(texts: list[str], chars: int = 3_000_000):
     """(from, to) of runs of texts of about so many characters: bounds what is held at once."""
     start = held = 0
     for i, t in enumerate(texts):

@@ -42,8 +42,10 @@ def test_chunk_encoder_equals_library(texts, monkeypatch):
     monkeypatch.setattr(token_ids, "CACHE_ENTRIES", 300)
     library, own = Tokenizer.from_file(WORDS), token_ids.ChunkEncoder(WORDS)
     for i in range(0, len(texts), 100):
-        for t, ids in zip(texts[i : i + 100], own.encode(texts[i : i + 100]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        ids, bounds = own.encode(texts[i : i + 100])
+        for t, k, n in zip(texts[i : i + 100], bounds[:-1], bounds[1:], strict=True):
+            assert ids[k:n].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert [x.tolist() for x in own.encode([], 2)] == [[], [0]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
