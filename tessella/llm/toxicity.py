@@ -26,6 +26,8 @@ TERMS = 8192
 LEAST_COUNT = 5
 LEAST_Z = 3.5
 EPOCHS = 20
+#: Rows that are scored at a time: bounds what a worker holds.
+SLICE = 1000
 THRESHOLD = 0.3
 
 
@@ -129,16 +131,16 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     repeated ones included. Only the text is looked at.
     """
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    ready = docs.select(*rest, terms(text_or_empty()).alias("__terms"))
-    names = [*rest, "score", "predicted"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema], "score double, predicted int"])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(b.num_columns - 1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            s = machine.score(np.repeat(np.arange(b.num_rows), size), flat, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names)
-
-    return ready.mapInArrow(of, schema)
+    # Only the terms go to Python; the other columns stay where they are.
+    @F.arrow_udf("double")
+    def scores(lists: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(lists), SLICE):
+            part = lists.slice(i, SLICE)
+            size = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            out.append(machine.score(np.repeat(np.arange(len(part)), size), part.flatten().to_numpy(zero_copy_only=False), len(part)))
+        return pa.array(np.concatenate(out) if out else np.empty(0))
+
+    scored = docs.select(*[F.col(f"`{c}`") for c in rest], scores(terms(text_or_empty())).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
