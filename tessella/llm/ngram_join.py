@@ -1,227 +1,269 @@
 """N-gram Jaccard join: size-banded tiles, bitmap bounds and exact intersections.
 
-Sets s and t of sizes |s| <= |t| with a Jaccard similarity of J or more differ in at most
-d = (1 - J) / (1 + J) * (|s| + |t|) elements. Sizes are cut into bands; in a band the elements are dealt into
-m buckets by their hashes, m beyond the d of any pair whose smaller set is of that band. Each element in which the
-sets differ spoils one bucket, so a pair has equal buckets; sets with an equal bucket meet in a *tile*
-(band, bucket, hash of the bucket's elements). Buckets of one element or none are equal by chance too often. A set
-with more than d buckets of two or more needs no others: one of those must be among the equal ones. Only sets
-with fewer send all of theirs.
+Sets s and t with a Jaccard similarity of J or more have at least J * max(|s|, |t|) elements in common. So with all
+elements in one order, s and t have a common element among the first |s| - ceil(J * |s|) + 1 of s and the first
+|t| - ceil(J * |t|) + 1 of t. The order is by hash, but for the most frequent elements, which come last: passages that
+many documents hold are then among the first ones of no set that has enough of its own. Which elements count as
+frequent changes only the work, never the result. A set meets others in *tiles*: one for each of its first elements
+and each band of sizes (powers of BAND_RATIO) that its partners may be the smaller ones of.
+
+A batch of documents sends one row for each tile, that of its smallest document; the others of the batch are paired
+with that one already, and their rows go anywhere. Documents with equal sets are linked by a digest of the set, and
+only the smallest of them goes on from there.
 
 In a tile every set is first compared with the smallest document only. Where that leaves several components,
-the tile's sets of different components are compared too: a bitmap of parities bounds the overlap from above,
-and what passes is intersected exactly. That goes in two rounds. The first takes one pair for two components that
-would join if the bound were the truth, so each tile sends fewer pairs than it has components; the second takes
-all pairs that are still between components and not compared yet. Pairs inside a component need no comparison, so a
-group of copies costs about as many comparisons as it has members, and no link between components is missed.
+the tile's sets of different components are compared too. That goes in two rounds: the first takes one pair for two
+components that would join if the bound were the truth, the second all pairs that are still between components and
+not compared yet. Pairs inside a component need no comparison, so a group of near copies costs about as many
+comparisons as it has members, and no link between components is missed.
+
+Each comparison first takes bitmaps of the elements' parities: equal elements cancel, so their difference counts at
+most the elements in which the sets differ and bounds the overlap from above. A bitmap has about a bit for each
+element, so the bound is as sharp for large sets as for small ones; larger bitmaps are folded onto smaller ones. Only
+pairs that pass take their texts along, for an exact intersection of sorted arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import partitions, written
+from tessella.llm.common import delete_written, partitions, written
 from tessella.llm.components import components
-from tessella.llm.substring_dedup import _firsts, _groups, _mix, run_hashes, word_hashes
+from tessella.llm.substring_dedup import _firsts, _groups, _mix, run_hashes
 
 SHINGLE = 4
 PERCENT = 85
-BAND_RATIO = 1.4
-FILL = 2.6
-BITMAP = 512
+BAND_RATIO = 2
 TILE = 2048
 
-#: Kinds of rows: a document and its set's size, a tile's member, a pair to compare, a pair of equal sets.
-_DOC, _MEMBER, _PAIR, _EQUAL = range(4)
-
-
-def shingles(text: bytes | None, length: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; of all its words where they are fewer."""
-    words = text.lower().split() if text else ()
-    if not words:
-        return np.empty(0, np.uint64)
-    n = min(length, len(words))
-    return np.unique(run_hashes(word_hashes(words), n, np.arange(len(words) - n + 1)) ^ np.uint64(n))
-
-
-def most_different(s: int, t: int, percent: int) -> int:
-    return (100 - percent) * (s + t) // (100 + percent)
-
-
-class Bands:
-    """Bands of sizes, as far as asked for: (least size, largest size, largest partner, buckets, differences)."""
-
-    def __init__(self, percent: int):
-        self.percent, self.rows = percent, []
-        self.lows = np.array([1])
-
-    def _upto(self, n: int) -> None:
-        while self.lows[-1] <= n:
-            low = int(self.lows[-1])
-            nxt = max(low + 1, int(np.ceil(BAND_RATIO * low)))
-            high = nxt - 1
-            partner = 100 * high // self.percent
-            most = most_different(high, partner, self.percent)
-            self.rows.append((low, high, partner, max(most + 1, int(np.ceil(low / FILL))), most))
-            self.lows = np.append(self.lows, nxt)
-
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, buckets, differences) in which a set of size n takes part."""
-        self._upto(n)
-        b = int(np.searchsorted(self.lows, n, "right")) - 1
-        own = [b]
-        # Partners of smaller bands; with low similarities there may be several.
-        while own[-1] > 0 and self.rows[own[-1] - 1][2] >= n:
-            own.append(own[-1] - 1)
-        return [(k, *self.rows[k][3:]) for k in own]
-
-
-def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """The tiles of a set: 64-bit hashes of (band, bucket, elements in it)."""
-    out = []
-    mixed = _mix(h)
-    for band, m, most in bands.of(len(h)):
-        bucket = (mixed % np.uint64(m)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        b = bucket[order]
-        start = np.flatnonzero(_firsts([b]))
-        size = np.diff(np.r_[start, len(b)])
-        sums = np.add.reduceat(_mix(h ^ np.uint64(0xA0761D6478BD642F))[order], start)
-        at, strong = b[start], size > 1
-        if strong.sum() > most:
-            at, sums = at[strong], sums[strong]
-        else:
-            rest = np.setdiff1d(np.arange(m), at)
-            at, sums = np.r_[at, rest], np.r_[sums, np.zeros(len(rest), np.uint64)]
-        out.append(_mix(sums ^ _mix((at + 1).astype(np.uint64) * np.uint64(1_000_003) + np.uint64(band))))
-    return np.concatenate(out)
-
-
-_ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("other", pa.int64())])
-# other: for a member the smallest document of the tile in this batch; or -1 - kind for the first kinds of rows.
-
-
-def _spread(x: np.ndarray) -> np.ndarray:
-    return _mix(x.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)).view(np.int64)
-
-
-def _emitted(length: int, percent: int):
-    """Rows (k, doc, other, kind) of a batch. Of equal sets the smallest document alone goes on; of a tile's
-    members the smallest waits for other batches, and the rest are paired with it already."""
-    schema = _ROWS.append(pa.field("kind", pa.int32()))
+#: Shingles that so many documents of a batch have count as frequent, and so many of the most frequent come last.
+FREQUENT_LEAST = 4
+FREQUENT = 1 << 18
+
+#: Ids of documents whose texts are wanted that are broadcast at most, about 20 MB; beyond, both sides are dealt by id.
+BROADCAST_IDS = 500_000
+
+#: Bytes of text that a worker takes at a time: those of a batch's rows, and those that are cut into words.
+ROWS_BYTES, WORDS_BYTES = 6_000_000, 2_000_000
+
+
+def _sliced(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of about so many bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, end - start
+        start = end
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) in parts of about ROWS_BYTES."""
+    for b in batches:
+        for start, n in _sliced(b.column(1), ROWS_BYTES):
+            yield b.slice(start, n)
+
+
+def batch_shingles(texts: pa.Array, length: int) -> Iterator[np.ndarray]:
+    """Of each text (strings or null) the sorted distinct hashes of its shingles; of all its words where they are fewer.
+
+    Arrow splits at ASCII white space and lower-cases A-Z; each distinct word is hashed once.
+    """
+    for start, n in _sliced(texts, WORDS_BYTES):
+        part = texts.slice(start, n)
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+        offsets = chunks.offsets.to_numpy().astype(np.int64)
+        coded = chunks.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        at = coded.indices.to_numpy()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        if b"" in words:  # next to white space at an end of a text
+            there = at != words.index(b"")
+            at, offsets = at[there], np.concatenate([[0], np.cumsum(there)])[offsets]
+        h = hashes[at] if len(words) else np.empty(0, np.uint64)
+        n = np.diff(offsets)
+        size = np.minimum(n, length)
+        count = np.where(n > 0, n - size + 1, 0)
+        ends = np.cumsum(count)
+        starts = np.repeat(offsets[:-1] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+        size = np.repeat(size, count)
+        every = run_hashes(h, size, starts) ^ size.astype(np.uint64)
+        for end, c in zip(ends.tolist(), count.tolist(), strict=True):
+            yield np.unique(every[end - c : end])
+
+
+def least_overlap(n: int, percent: int) -> int:
+    """Elements that a set of size n has in common with any that is similar enough."""
+    return -(-percent * n // 100)
+
+
+def bands(n: int, percent: int) -> range:
+    """The bands in which a set of size n takes part: those of its smallest possible partner up to its own."""
+    return range(_band(max(1, least_overlap(n, percent))), _band(n) + 1)
+
+
+def _band(n: int) -> int:
+    return int(np.floor(np.log(n) / np.log(BAND_RATIO) + 1e-9))
+
+
+def first_elements(h: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Those elements of a set that decide in which tiles it is. frequent: sorted hashes; rank: higher for more frequent ones."""
+    order = _mix(h) >> np.uint64(1)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        order = np.where(frequent[at] == h, np.uint64(1 << 63) + rank[at], order)
+    n = len(h) - least_overlap(len(h), percent) + 1
+    return h[np.argpartition(order, n - 1)[:n]]
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    """The parities of a set's elements: four bits for each element of small sets, and one of large ones, whose counts scatter
+    less; 512 at least, and a power of two."""
+    n = max(512, min(_power(4 * len(h)), 2048), _power(len(h)))
+    odd = np.bincount((_mix(h) >> np.uint64(40)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _power(n: int) -> int:
+    return 1 << (n - 1).bit_length()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, each folded onto the smallest size: a bit's place is a hash modulo the size."""
+    least = min(map(len, maps)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, least), axis=0) for m in maps])
+
+
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m may be similar enough, if their bitmaps differ in so many bits."""
+    both = np.minimum((n + m - differ) // 2, np.minimum(n, m))
+    return 100 * both >= percent * (n + m - both)
+
+
+_SETS = "doc long, n long, name binary, bitmap binary, k long, c long"
+
+
+def _sets(length: int):
+    """A row for each document, with a digest and the bitmap of its set, and rows (k, c) for shingles k that c documents of the batch have."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("bitmap", pa.binary()), ("k", pa.int64()), ("c", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for batch in batches:
-            seen: dict[bytes, int] = {}
-            equal, sizes, sigs, docs = [], [], [], []
-            order = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda x: (x[0] is None, x[0]))
-            for doc, text in order:
-                h = shingles(text, length)
-                sizes.append((doc, len(h)))
-                if doc is None or not len(h):
-                    continue
-                name = xxhash.xxh3_128_digest(h.tobytes())
-                if (first := seen.setdefault(name, doc)) != doc:
-                    equal.append((doc, first))
+        for b in _cut(batches):
+            sets = list(batch_shingles(b.column(1), length))
+            sizes = pa.array([len(h) for h in sets], pa.int64())
+            names = pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())
+            maps = pa.array([bitmap(h) if len(h) else None for h in sets], pa.binary())
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, names, maps, none, none], schema=schema)
+            every = np.sort(np.concatenate([*sets, np.empty(0, np.uint64)]))
+            starts = np.flatnonzero(_firsts([every])) if len(every) else np.empty(0, np.int64)
+            count = np.diff(np.r_[starts, len(every)])
+            often = count >= FREQUENT_LEAST
+            none = [pa.nulls(int(often.sum()), t) for t in schema.types[:4]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(every[starts[often]].view(np.int64)), pa.array(count[often])], schema=schema)
+
+    return of
+
+
+#: Rows of a tile: the only document of a batch in it, the smallest of several, and the others, paired with that one.
+_ALONE, _FIRST, _PAIRED = range(3)
+_MEMBERS = "key long, k long, doc long, other long, kind int"
+
+
+def _members(length: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
+    """Rows (key, k, doc, other, kind) of a batch: a document in tile k. Of equal sets the smallest document alone goes on."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _cut(batches):
+            seen: set[bytes] = set()
+            tiles, docs = [], []
+            b = b.sort_by("doc_id")
+            for doc, h in zip(b.column(0).to_pylist(), batch_shingles(b.column(1), length), strict=True):
+                if doc is None or not len(h) or (name := xxhash.xxh3_128_digest(h.tobytes())) in seen:
                     continue
-                s = signatures(h, bands)
-                sigs.append(s)
-                docs.append(np.full(len(s), doc, np.int64))
-            k = np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64)
+                seen.add(name)
+                first = first_elements(h, percent, frequent, rank)
+                for band in bands(len(h), percent):
+                    tiles.append(_mix(first ^ np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
+                    docs.append(np.full(len(first), doc, np.int64))
+            k = np.concatenate([*tiles, np.empty(0, np.uint64)]).view(np.int64)
             d = np.concatenate([*docs, np.empty(0, np.int64)])
-            by = np.lexsort((d, k))
+            # Rows come by ascending document, and of rows with one doc_id all but one of a tile go.
+            by = np.argsort(k, kind="stable")
             k, d = k[by], d[by]
             new = _firsts([k, d])
             k, d = k[new], d[new]
             starts = np.flatnonzero(_firsts([k])) if len(k) else np.empty(0, np.int64)
-            first = d[starts][np.cumsum(_firsts([k])) - 1] if len(k) else d
-            none = np.array([x is None for x, _ in sizes], bool)
-            ids = np.array([x or 0 for x, _ in sizes], np.int64)
-            e = np.array(equal, np.int64).reshape(-1, 2)
-            cols = [
-                np.concatenate([_spread(ids + np.arange(len(ids))), k, _spread(e[:, 0])]),
-                np.concatenate([ids, d, e[:, 0]]),
-                np.concatenate([np.array([n for _, n in sizes], np.int64), first, e[:, 1]]),
-                np.concatenate([np.full(len(ids), _DOC), np.full(len(k), _MEMBER), np.full(len(e), _EQUAL)]).astype(np.int32),
-            ]
-            mask = np.concatenate([none, np.zeros(len(k) + len(e), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], mask=mask), pa.array(cols[2]), pa.array(cols[3])], schema=schema)
+            size = np.diff(np.r_[starts, len(k)])
+            first = np.zeros(len(k), bool)
+            first[starts] = True
+            kind = np.where(first, np.where(np.repeat(size, size) > 1, _FIRST, _ALONE), _PAIRED).astype(np.int32)
+            least = np.repeat(d[starts], size)
+            away = _mix(d.view(np.uint64) ^ _mix(k.view(np.uint64))).view(np.int64)
+            cols = [np.where(first, k, away), np.where(first, 0, k), d, np.where(first, 0, least), kind]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "k", "doc", "other", "kind"])
 
     return of
 
 
-_KEPT = "k long, doc long, other long, kind int"
+_TILES = "k long, doc long, other long"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of members, those of tiles with several documents: ``other`` becomes the document that each is to be
-    compared with, its batch's smallest or, for that one, the tile's. Rows are sorted by k; others pass."""
-    names = ["k", "doc", "other", "kind"]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    for cols in _groups(_filled(batches), 1):
-        k, doc, other, kind, null = cols
-        member = kind == _MEMBER
-        out = [[c[~member] for c in (k, doc, other, kind, null)]]
-        if member.any():
-            k, doc, other = k[member], doc[member], other[member]
+    """The members (k, doc, other) of tiles with several documents; ``other``: the one that doc is to be compared with first,
+    its batch's smallest or, for that one, the tile's. Rows are sorted by key."""
+    for key, k, doc, other, kind in _groups(batches, 1):
+        paired = kind == _PAIRED
+        out = [(k[paired], doc[paired], other[paired])]
+        wait = ~paired
+        if wait.any():
+            k, doc, kind = key[wait], doc[wait], kind[wait]
             starts = np.flatnonzero(_firsts([k]))
+            size = np.diff(np.r_[starts, len(k)])
             least = np.minimum.reduceat(doc, starts)
-            most = np.maximum.reduceat(doc, starts)
-            group = np.cumsum(_firsts([k])) - 1
-            keep = (least != most)[group]
-            other = np.where(other == doc, least[group], other)
-            n = int(keep.sum())
-            out.append([k[keep], doc[keep], other[keep], np.full(n, _MEMBER, np.int32), np.zeros(n, bool)])
-        k, doc, other, kind, null = (np.concatenate(x) for x in zip(*out, strict=True))
+            several = (np.maximum.reduceat(doc, starts) != least) | (np.maximum.reduceat(kind, starts) == _FIRST)
+            keep = np.repeat(several, size)
+            out.append((k[keep], doc[keep], np.repeat(least, size)[keep]))
+        k, doc, other = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k, types[0]), pa.array(doc, types[1], mask=null), pa.array(other, types[2]), pa.array(kind, types[3])], names)
-
-
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).fill_null(0), b.column(2), b.column(3), b.column(1).is_null()], ["k", "doc", "other", "kind", "null"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc), pa.array(other)], ["k", "doc", "other"])
 
 
-def _links(percent: int, length: int):
-    """(u, v) of the pairs whose sets are similar enough; rows: two ids and two texts."""
+def _bounded(percent: int):
+    """Of pairs (u, v) with their sizes and bitmaps those that may be similar enough."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for b in batches:
-            us, vs = [], []
-            for u, v, one, two in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingles(one, length)
-                if two != last[0]:
-                    last = two, shingles(two, length)
-                t = last[1]
-                if not len(s) or not len(t):
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            u, v, n, m, one, two = b.columns
+            differ = [int(np.bitwise_count(np.bitwise_xor.reduce(folded([x, y]), axis=0)).sum()) for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True)]
+            ok = pa.array(may_link(n.to_numpy(), m.to_numpy(), np.array(differ, np.int64), percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["u", "v"])
 
     return of
 
 
-def _bitmaps(length: int):
+def _links(percent: int, length: int):
+    """(u, v) of the pairs whose sets are similar enough; rows: two ids and two texts."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, maps = [], []
-            for text in b.column(1).to_pylist():
-                h = shingles(text, length)
-                n.append(len(h))
-                odd = np.bincount((_mix(h) >> np.uint64(40)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["doc", "n", "bitmap"])
+            ok = []
+            texts = [c.dictionary_encode() for c in b.columns[2:]]
+            sets = [list(batch_shingles(t.dictionary, length)) for t in texts]
+            for i, j in zip(*(t.indices.to_pylist() for t in texts), strict=True):
+                s, t = sets[0][i], sets[1][j]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
     return of
 
@@ -232,7 +274,7 @@ def _crossed(percent: int, forest: bool):
 
     def compared(rows: list[tuple], square: bool) -> tuple[np.ndarray, np.ndarray] | None:
         doc, label, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        bits = np.stack([np.frombuffer(r[3], np.uint64) for r in rows])
+        bits = folded([r[3] for r in rows])
         side = np.array([r[4] for r in rows])
         us, vs = [], []
         for i in range(len(rows)):
@@ -240,9 +282,7 @@ def _crossed(percent: int, forest: bool):
                 continue
             others = slice(i + 1, None) if square else np.flatnonzero(side == 1)
             differ = np.bitwise_count(bits[i] ^ bits[others]).sum(1, dtype=np.int64)
-            both = (n[i] + n[others] - differ) // 2
-            both = np.minimum(both, np.minimum(n[i], n[others]))
-            ok = (label[others] != label[i]) & (100 * both >= percent * (n[i] + n[others] - both))
+            ok = (label[others] != label[i]) & may_link(n[i], n[others], differ, percent)
             if ok.any():
                 found = doc[others][ok]
                 if forest:
@@ -256,23 +296,28 @@ def _crossed(percent: int, forest: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
-            for k, x, y, side, doc, label, n, bitmap in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, x, y, side, doc, label, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k, x, y) != now:
                     if len(rows) > 1 and (got := compared(rows, now[1] == now[2])):
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["u", "v"])
                     now, rows = (k, x, y), []
-                rows.append((doc, label, n, bitmap, side))
+                rows.append((doc, label, n, bits, side))
         if len(rows) > 1 and (got := compared(rows, now[1] == now[2])):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["u", "v"])
 
     return of
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, length: int) -> DataFrame:
-    """pairs: distinct (u, v). The text of u goes to the rows of v, which may be many for one v."""
-    one = texts.select(F.col("doc").alias("u"), F.col("text").alias("one"))
-    two = texts.select(F.col("doc").alias("v"), F.col("text").alias("two"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_links(percent, length), "u long, v long")
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
+    """pairs: distinct (u, v), from a written table. The text of u goes to the rows of v, which may be many for one v."""
+    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = written(docs.join(ids, "doc_id", "left_semi"), "texts")
+    one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("one"))
+    two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("two"))
+    found = written(pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_links(percent, length), "u long, v long").distinct(), "links")
+    delete_written(texts)
+    return found
 
 
 def _tiles(members: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
@@ -287,6 +332,58 @@ def _tiles(members: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
     return inside.select("k", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), side, "doc", "label", "n", "bitmap")
 
 
+@dataclass
+class _Found:
+    """every: each row's doc and n. equal: (u, v), v the smallest document with u's set. star: pairs that may link, of smallest
+    documents with their sets. members: tiles of three and more such documents, one of those that hold the same ones (in a tile of
+    two, star has the pair). maps: sizes and bitmaps of all sets. tables: all written ones."""
+
+    every: DataFrame
+    equal: DataFrame
+    star: DataFrame
+    members: DataFrame
+    maps: DataFrame
+    tables: list[DataFrame]
+
+
+def _found(docs: DataFrame, percent: int, length: int) -> _Found:
+    """docs: doc_id and text."""
+    n, tables = partitions(docs.sparkSession), []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.append(written(df, name))
+        return tables[-1]
+
+    sets = kept(docs.mapInArrow(_sets(length), _SETS), "sets")
+    often = sets.where("k IS NOT NULL").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(FREQUENT).collect()
+    rank = {r["k"] % (1 << 64): len(often) - i for i, r in enumerate(often)}
+    frequent = np.array(sorted(rank), np.uint64)
+    rank = np.array([rank[k] for k in frequent.tolist()], np.uint64)
+    every = sets.where("k IS NULL").select("doc", "n")
+    named = sets.where("name IS NOT NULL AND doc IS NOT NULL")
+    first = named.groupBy("name").agg(F.min("doc").alias("first"))
+    equal = kept(named.select("name", "doc").join(first, "name").where("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v")).distinct(), "equal")
+    # A doc_id of several rows may be first with one of its sets only.
+    gone = equal.groupBy("u").agg(F.min("v").alias("v")).join(first.select(F.col("first").alias("u")), "u", "left_anti")
+
+    rows = docs.mapInArrow(_members(length, percent, frequent, rank), _MEMBERS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, _TILES)
+    rows = kept(rows, "tiles")
+    star = rows.where("doc <> other").select("doc", "other").distinct()
+    star = star.join(gone.select(F.col("u").alias("doc"), F.col("v").alias("d")), "doc", "left").join(gone.select(F.col("u").alias("other"), F.col("v").alias("o")), "other", "left")
+    u, v = F.coalesce("d", "doc"), F.coalesce("o", "other")
+    star = star.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+    maps = named.select("doc", "n", "bitmap")
+    one, two = (maps.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "uv")
+    star = star.join(one, "u").join(two, "v").select("u", "v", "n_u", "n_v", "bitmap_u", "bitmap_v").mapInArrow(_bounded(percent), "u long, v long")
+    star = kept(star.distinct(), "pairs")
+
+    firsts = rows.select("k", "doc").join(gone.select(F.col("u").alias("doc")), "doc", "left_anti")
+    held = firsts.groupBy("k").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("one"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("two"))
+    held = held.where("size > 2").groupBy("size", "one", "two").agg(F.min("k").alias("k")).select("k")
+    members = kept(firsts.join(held, "k"), "members")
+    return _Found(every, equal, star, members, maps, tables)
+
+
 def link(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> DataFrame:
     """docs' (doc_id, text) as (doc_id, n_shingles, component_id): components of the documents whose sets of
     ``length``-word shingles have a Jaccard similarity of ``percent`` hundredths or more.
@@ -294,45 +391,29 @@ def link(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> Data
     One row for each row. A-Z are lower-cased, words are runs of anything but ASCII white space. A text of
     fewer words than a shingle is one shingle; a null text or one without words has none and is linked with nothing.
     component_id is the smallest doc_id that is reached by links. Rows without doc_id are linked with nothing, and their
-    component_id is null. Rows with one doc_id are one document with any of their texts. Other columns are ignored.
+    component_id is null. Rows with one doc_id are one document with any of their texts. Very long texts are taken whole;
+    a worker holds one text's words at a time beside ROWS_BYTES. No rows give none. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = docs.mapInArrow(_emitted(length, percent), _KEPT).repartition(n, "k").sortWithinPartitions("k").mapInArrow(_met, _KEPT)
-    rows = written(rows, "tiles")
-    members = rows.where(F.col("kind") == _MEMBER).select("k", "doc", "other")
-    equal = rows.where(F.col("kind") == _EQUAL).select(F.col("doc").alias("u"), F.col("other").alias("v"))
-    wanted = members.select("doc").distinct()
-    texts = written(docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi"), "texts")
-    star = written(members.where("doc <> other").select(F.greatest("doc", "other").alias("u"), F.least("doc", "other").alias("v")).distinct(), "pairs")
-    first = written(_verified(star, texts, percent, length).unionByName(equal), "links")
-    labels = components(first)
-
-    maps, checked = written(texts.mapInArrow(_bitmaps(length), "doc long, n long, bitmap binary"), "bitmaps"), star
+    n = partitions(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _found(docs, percent, length)
+    first = _verified(found.star, docs, percent, length)
+    found.tables.append(first)
+    labels = components(first.unionByName(found.equal))
+    checked = found.star
     for forest in (True, False):
-        crossed = _tiles(members, labels, maps).repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent, forest), "u long, v long")
+        crossed = _tiles(found.members, labels, found.maps).repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent, forest), "u long, v long")
         crossed = written(crossed.distinct().join(checked, ["u", "v"], "left_anti"), "pairs")
-        second = written(_verified(crossed, texts, percent, length), "links")
+        found.tables.append(crossed)
+        second = _verified(crossed, docs, percent, length)
+        found.tables.append(second)
         if not second.isEmpty():
             labels = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
         checked = checked.unionByName(crossed)
-    every = rows.where(F.col("kind") == _DOC).select(F.col("doc").alias("doc_id"), F.col("other").alias("n_shingles"))
-    joined = every.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _named(length: int):
-    """Rows with a digest of their set; those without words go."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(text, length) for text in b.column(1).to_pylist()]
-            names = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary())], ["doc", "text", "name"])
-            yield out.filter(out.column(2).is_valid())
-
-    return of
+    joined = found.every.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = written(joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "linked")
+    delete_written(*found.tables)
+    return out
 
 
 def pairs(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> DataFrame:
@@ -343,12 +424,11 @@ def pairs(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> Dat
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text")).where("doc IS NOT NULL")
-    least = docs.mapInArrow(_named(length), "doc long, text binary, name binary").groupBy("name").agg(F.min(F.struct("doc", "text")).alias("least"))
-    texts = written(least.select("least.doc", "least.text"), "texts")
-    rows = texts.mapInArrow(_emitted(length, percent), _KEPT).repartition(n, "k").sortWithinPartitions("k").mapInArrow(_met, _KEPT)
-    members = written(rows.where(F.col("kind") == _MEMBER).select("k", "doc", "other"), "tiles").select("k", "doc")
-    maps = written(texts.mapInArrow(_bitmaps(length), "doc long, n long, bitmap binary"), "bitmaps")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _found(docs, percent, length)
     apart = spark.createDataFrame([], "id long, component long")
-    met = _tiles(members, apart, maps).repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent, False), "u long, v long")
-    return _verified(written(met.distinct(), "pairs"), texts, percent, length).distinct()
+    met = _tiles(found.members, apart, found.maps).repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_crossed(percent, False), "u long, v long")
+    met = written(met.unionByName(found.star).distinct(), "pairs")
+    out = _verified(met, docs, percent, length)
+    delete_written(*found.tables, met)
+    return out
