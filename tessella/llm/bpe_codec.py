@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_or_empty
-from tessella.llm.token_ids import byte_letters, slices
+from tessella.llm.common import cut, text_or_empty
+from tessella.llm.token_ids import SLICE_BYTES, byte_letters
 
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
@@ -206,16 +206,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                ids = [own.encode(t)[1] for t in texts[i:j]]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+        for b in cut(batches, 1, SLICE_BYTES):
+            ids = [own.encode(t)[1] for t in b.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(of, "doc_id long, n_tokens long, ids array<int>")
 
@@ -237,10 +232,9 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b in cut(batches, 1, SLICE_BYTES):
             rows = []
-            for t in texts:
+            for t in b.column(1).to_pylist():
                 decimal, ids = own.encode(t)
                 back = own.decode(ids).decode("utf-8", "replace").encode()
                 rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))

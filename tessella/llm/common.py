@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +62,22 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def sliced(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of about so many bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, end - start
+        start = end
+
+
+def cut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about so many bytes of a text column: bounds what a worker holds beside a batch. Gives unused memory back."""
+    for b in batches:
+        for start, n in sliced(b.column(column), size):
+            yield b.slice(start, n)
+        pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import delete_written, partitions, written
+from tessella.llm.common import cut, delete_written, partitions, sliced, written
 from tessella.llm.components import components
 from tessella.llm.substring_dedup import _firsts, _groups, _mix, run_hashes
 
@@ -55,30 +55,12 @@ BROADCAST_IDS = 500_000
 ROWS_BYTES, WORDS_BYTES = 6_000_000, 2_000_000
 
 
-def _sliced(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
-    """(start, number) of runs of texts of about so many bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        before = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
-        yield start, end - start
-        start = end
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, text) in parts of about ROWS_BYTES."""
-    for b in batches:
-        for start, n in _sliced(b.column(1), ROWS_BYTES):
-            yield b.slice(start, n)
-
-
 def batch_shingles(texts: pa.Array, length: int) -> Iterator[np.ndarray]:
     """Of each text (strings or null) the sorted distinct hashes of its shingles; of all its words where they are fewer.
 
     Arrow splits at ASCII white space and lower-cases A-Z; each distinct word is hashed once.
     """
-    for start, n in _sliced(texts, WORDS_BYTES):
+    for start, n in sliced(texts, WORDS_BYTES):
         part = texts.slice(start, n)
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
         offsets = chunks.offsets.to_numpy().astype(np.int64)
@@ -149,26 +131,30 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) ->
     return 100 * both >= percent * (n + m - both)
 
 
-_SETS = "doc long, n long, name binary, bitmap binary, k long, c long"
+_SETS = "doc long, n long, name binary, bitmap binary, same long, k long, c long"
 
 
 def _sets(length: int):
-    """A row for each document, with a digest and the bitmap of its set, and rows (k, c) for shingles k that c documents of the batch have."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("bitmap", pa.binary()), ("k", pa.int64()), ("c", pa.int64())])
+    """A row for each document: with a digest and the bitmap of its set, or for all but the smallest of a batch's documents
+    with one set, that smallest as ``same``. And rows (k, c) for shingles k that c documents of the batch have."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("bitmap", pa.binary()), ("same", pa.int64()), ("k", pa.int64()), ("c", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _cut(batches):
+        for b in cut(batches, 1, ROWS_BYTES):
+            b, seen, rows = b.sort_by("doc_id"), {}, []
             sets = list(batch_shingles(b.column(1), length))
-            sizes = pa.array([len(h) for h in sets], pa.int64())
-            names = pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())
-            maps = pa.array([bitmap(h) if len(h) else None for h in sets], pa.binary())
+            for doc, h in zip(b.column(0).to_pylist(), sets, strict=True):
+                name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) and doc is not None else None
+                same = seen.setdefault(name, doc) if name else None
+                rows.append((None, None, same) if same != doc or name is None else (name, bitmap(h), None))
+            cols = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[2:5], strict=True)]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), sizes, names, maps, none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), *cols, none, none], schema=schema)
             every = np.sort(np.concatenate([*sets, np.empty(0, np.uint64)]))
             starts = np.flatnonzero(_firsts([every])) if len(every) else np.empty(0, np.int64)
             count = np.diff(np.r_[starts, len(every)])
             often = count >= FREQUENT_LEAST
-            none = [pa.nulls(int(often.sum()), t) for t in schema.types[:4]]
+            none = [pa.nulls(int(often.sum()), t) for t in schema.types[:5]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(every[starts[often]].view(np.int64)), pa.array(count[often])], schema=schema)
 
     return of
@@ -183,7 +169,7 @@ def _members(length: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
     """Rows (key, k, doc, other, kind) of a batch: a document in tile k. Of equal sets the smallest document alone goes on."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _cut(batches):
+        for b in cut(batches, 1, ROWS_BYTES):
             seen: set[bytes] = set()
             tiles, docs = [], []
             b = b.sort_by("doc_id")
@@ -360,9 +346,11 @@ def _found(docs: DataFrame, percent: int, length: int) -> _Found:
     frequent = np.array(sorted(rank), np.uint64)
     rank = np.array([rank[k] for k in frequent.tolist()], np.uint64)
     every = sets.where("k IS NULL").select("doc", "n")
-    named = sets.where("name IS NOT NULL AND doc IS NOT NULL")
+    named = sets.where("name IS NOT NULL")
     first = named.groupBy("name").agg(F.min("doc").alias("first"))
-    equal = kept(named.select("name", "doc").join(first, "name").where("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v")).distinct(), "equal")
+    far = named.select("name", "doc").join(first, "name").where("doc <> first").select(F.col("doc").alias("same"), F.col("first").alias("v"))
+    near = sets.where("same <> doc").select("doc", "same").join(far, "same", "left").select(F.col("doc").alias("u"), F.coalesce("v", "same").alias("v"))
+    equal = kept(near.unionByName(far.withColumnRenamed("same", "u")).distinct(), "equal")
     # A doc_id of several rows may be first with one of its sets only.
     gone = equal.groupBy("u").agg(F.min("v").alias("v")).join(first.select(F.col("first").alias("u")), "u", "left_anti")
 

@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import partitions
+from tessella.llm.common import cut, partitions
 
 WINDOW = 50
 
+#: Bytes of text that a worker takes at a time.
+ROWS_BYTES = 8_000_000
+
 #: A perfect difference set modulo 31; every distance is a difference of two of its elements.
 COVER_PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
@@ -122,7 +125,7 @@ def _anchors(window: int):
     out = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1, ROWS_BYTES):
             hs, ds, ps = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.split() if text and doc is not None else ()
@@ -191,7 +194,7 @@ def _windows(window: int):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 2, ROWS_BYTES):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 words = text.split() if text else ()
@@ -267,7 +270,7 @@ def _kept(window: int, digest: bool, carry: bool):
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 2, ROWS_BYTES):
             rows = []
             for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 words = (text or b"").split()

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import partitions, text_or_empty
-from tessella.llm.token_ids import chunk_encoder, slices
+from tessella.llm.common import cut, partitions, text_or_empty
+from tessella.llm.token_ids import SLICE_BYTES, chunk_encoder
 
 MAGIC = b"TSP1"
 BLOCK = 1024
@@ -129,17 +129,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
             doc_ids.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
-        for b in batches:
-            docs_here, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts):
-                coded, bounds = own.encode(texts[i:j], end_id)
-                bounds = bounds.tolist()
-                for doc, first, last in zip(docs_here[i:j], bounds, bounds[1:], strict=False):
-                    ids.append(coded[first:last])
-                    doc_ids.append(doc)
-                    held += last - first
-                    if held >= SEGMENT_IDS:
-                        yield segment()
+        for b in cut(batches, 1, SLICE_BYTES):
+            coded, bounds = own.encode(b.column(1).to_pylist(), end_id)
+            bounds = bounds.tolist()
+            for doc, first, last in zip(b.column(0).to_pylist(), bounds, bounds[1:], strict=False):
+                ids.append(coded[first:last])
+                doc_ids.append(doc)
+                held += last - first
+                if held >= SEGMENT_IDS:
+                    yield segment()
         if ids:
             yield segment()
 

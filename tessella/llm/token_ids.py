@@ -10,10 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a generation that a worker keeps, of which there are two, and the longest token that it keeps: about 170 MB.
-CACHE_ENTRIES = 400_000
+#: Entries of a generation that a worker keeps, of which there are two, and the longest token that it keeps: about 90 MB.
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 48
 
+#: Bytes of text that a worker encodes at a time.
+SLICE_BYTES = 2_000_000
+
 #: Characters that lower-case one to one and have no marks to compose: printable ASCII, its white space and Latin-1 letters.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 
@@ -128,15 +131,3 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
-
-
-def slices(texts: list[str], chars: int = 3_000_000):
-    """(from, to) of runs of texts of about so many characters: bounds what is held at once."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
