@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import ngram_join, packing, secrets, substring_dedup, toxicity
-from tessella.llm.common import table, written
+from tessella.llm.common import delete_written, table, written
 
 #: Near copies: so many hundredths of their shingles of so many words are common. op8's contract (4 and 85) binds only op8.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -74,6 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            delete_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
