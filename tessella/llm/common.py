@@ -56,6 +56,15 @@ def delete_written(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+#: Ids that are broadcast at most, about 40 MB; beyond, both sides are dealt by id.
+BROADCAST_IDS = 500_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs' rows whose doc_id is among ids, or with ``left_anti`` is not. ids: distinct doc_ids of a written table, which are counted."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,6 +73,28 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine) -> Column:
+    """For each of an array's integers what ``combine`` (a sum, a maximum) makes of those before it, from 0 on.
+
+    In blocks of the root of their number: an array that grows by one element is copied, so one block would cost the square.
+    """
+    state = "struct<last:int,out:array<int>>"
+    none = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def over(items: Column, value) -> Column:
+        return F.aggregate(items, none, lambda a, x: F.struct(combine(a["last"], value(x)).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out")).cast(state))
+
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(values), width), lambda i: over(F.slice(values, i, width), lambda x: x))
+    joined = let(blocks, lambda b: let(over(b, lambda x: x["last"])["out"], lambda first: F.flatten(F.transform(b, lambda x, j: F.transform(x["out"], lambda v: combine(first[j], v))))))
+    return F.when(F.size(values) > 0, joined).otherwise(F.array().cast("array<int>"))
+
+
 def sliced(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """(start, number) of runs of texts of about so many bytes; a longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

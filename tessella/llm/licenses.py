@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_or_empty
+from tessella.llm.common import running, text_or_empty
 from tessella.llm.license_rules import ANCHORS, KINDS, rules
 
 #: The phrases that always count, with their labels.
@@ -32,18 +32,8 @@ def _spans(text: Column, pattern: Column) -> Column:
     """The words [start, end) of each match in a text that begins and ends with a space."""
 
     def summed(x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(x["found"]) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-            lambda a, i: F.struct(
-                (a["at"] + x["before"][i] + x["found"][i]).cast("int").alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(F.struct((a["at"] + x["before"][i] - 1).cast("int").alias("start"), (a["at"] + x["before"][i] + x["found"][i]).cast("int").alias("end"))),
-                ).cast(_SPAN).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
+        at = running(F.zip_with(F.slice(x["before"], 1, F.size(x["found"])), x["found"], lambda b, f: b + f), lambda a, b: a + b)
+        return F.transform(at, lambda a, i: F.struct((a + x["before"][i] - 1).alias("start"), (a + x["before"][i] + x["found"][i]).alias("end"))).cast(_SPAN)
 
     pieces = F.array(F.struct(
         F.transform(F.split(text, pattern, -1), _spaces).alias("before"),

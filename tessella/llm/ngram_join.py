@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, delete_written, partitions, sliced, written
+from tessella.llm.common import by_ids, cut, delete_written, partitions, sliced, written
 from tessella.llm.components import components
 from tessella.llm.substring_dedup import _firsts, _groups, _mix, run_hashes
 
@@ -48,9 +48,6 @@ TILE = 2048
 FREQUENT_LEAST = 4
 FREQUENT = 1 << 18
 
-#: Ids of documents whose texts are wanted that are broadcast at most, about 20 MB; beyond, both sides are dealt by id.
-BROADCAST_IDS = 500_000
-
 #: Bytes of text that a worker takes at a time: those of a batch's rows, and those that are cut into words.
 ROWS_BYTES, WORDS_BYTES = 6_000_000, 2_000_000
 
@@ -297,8 +294,7 @@ def _crossed(percent: int, forest: bool):
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
     """pairs: distinct (u, v), from a written table. The text of u goes to the rows of v, which may be many for one v."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "texts")
+    texts = written(by_ids(docs, ids, "left_semi"), "texts")
     one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("one"))
     two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("two"))
     found = written(pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_links(percent, length), "u long, v long").distinct(), "links")

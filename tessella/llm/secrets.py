@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_or_empty
+from tessella.llm.common import let, running, text_or_empty
 
 LEAST = 20
 REJECT = 0.001
@@ -44,11 +44,6 @@ ENCODINGS = (
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """(start, end, part) of each match in code points, end exclusive; part: what the group holds."""
     kind = "array<struct<start:int,end:int,part:string>>"
@@ -59,16 +54,16 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     )
 
     def placed(x: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + x["before"][i]
-            end = (start + x["found"][i]).cast("int")
-            one = F.struct(start.cast("int").alias("start"), end.alias("end"), x["part"][i].alias("part"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).cast(kind).alias("out"))
+        at = running(F.zip_with(F.slice(x["before"], 1, F.size(x["found"])), x["found"], lambda b, f: b + f), lambda a, b: a + b)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+        def one(start: Column, i: Column) -> Column:
+            start = start + x["before"][i]
+            return F.struct(start.alias("start"), (start + x["found"][i]).alias("end"), x["part"][i].alias("part"))
+
+        return F.transform(at, one).cast(kind)
 
     none = F.array().cast(kind)
-    return F.when(text.rlike(pattern), _let(sizes, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(none))).otherwise(none)
+    return F.when(text.rlike(pattern), let(sizes, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(none))).otherwise(none)
 
 
 def _named(matches: Column, kind: str) -> Column:
@@ -106,20 +101,24 @@ def _tests(s: Column) -> Column:
             runs = F.aggregate(pairs, F.lit(1.0), lambda a, i: a + F.when((v[i] >= k / 2) != (v[i - 1] >= k / 2), 1.0).otherwise(0.0))
             mean = 2 * high * low / n + 1
             sd = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-            middle = F.aggregate(v, F.lit(0.0), lambda a, c: a + c) / n
-            spread = F.aggregate(v, F.lit(0.0), lambda a, c: a + (c - middle) * (c - middle))
-            joint = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + (v[i] - middle) * (v[i - 1] - middle))
-            return F.least(_two_sided((runs - mean) / sd), _two_sided(F.coalesce(F.try_divide(joint, spread) * F.sqrt(n), F.lit(1e3))))
+
+            def correlation(middle: Column) -> Column:
+                spread = F.aggregate(v, F.lit(0.0), lambda a, c: a + (c - middle) * (c - middle))
+                joint = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + (v[i] - middle) * (v[i - 1] - middle))
+                return F.try_divide(joint, spread) * F.sqrt(n)
+
+            serial = let(F.aggregate(v, F.lit(0.0), lambda a, c: a + c) / n, correlation)
+            return F.least(_two_sided((runs - mean) / sd), _two_sided(F.coalesce(serial, F.lit(1e3))))
 
         extra = n * (k * x["equal"] - 1)
         ordinary = _normal((chi - (d + extra)) / F.sqrt(2 * d + 4 * extra))
-        return F.struct(F.least(F.lit(1.0), 3 * F.least(even, _let(values, sequence))).alias("random"), ordinary.alias("ordinary"))
+        return F.struct(F.least(F.lit(1.0), 3 * F.least(even, let(values, sequence))).alias("random"), ordinary.alias("ordinary"))
 
     found = F.lit(None).cast("struct<s:string,letters:string,equal:double>")
     for name, pattern, letters, equal in reversed(ENCODINGS):
         plain = F.lower(s) if name == "hex" else F.translate(F.rtrim(s, F.lit("=")), "_-", "/+")
         found = F.when(s.rlike(pattern), F.struct(plain.alias("s"), F.lit(letters).alias("letters"), F.lit(equal).alias("equal"))).otherwise(found)
-    return _let(found, lambda x: F.when(x.isNotNull(), tested(x)))
+    return let(found, lambda x: F.when(x.isNotNull(), tested(x)))
 
 
 def _discoveries(text: Column) -> Column:
@@ -130,9 +129,21 @@ def _discoveries(text: Column) -> Column:
     def kept(all_: Column) -> Column:
         ordered = F.sort_array(F.transform(all_, lambda m: m["p"]["ordinary"]))
         limit = F.array_max(F.transform(ordered, lambda p, i: F.when(p <= RATE * (i + 1) / F.size(all_), p).otherwise(F.lit(-1.0))))
-        return F.filter(all_, lambda m: (m["p"]["ordinary"] <= limit) & (m["p"]["random"] >= REJECT))
+        return let(limit, lambda most: F.filter(all_, lambda m: (m["p"]["ordinary"] <= most) & (m["p"]["random"] >= REJECT)))
+
+    return let(tried, lambda x: F.when(F.size(x) > 0, _named(let(x, kept), "random")).otherwise(F.array().cast(_SPAN)))
+
 
-    return _let(tried, lambda x: F.when(F.size(x) > 0, _named(_let(x, kept), "random")).otherwise(F.array().cast(_SPAN)))
+def _outside(found: Column, base: Column) -> Column:
+    """Those found spans that lie in none of base's: by start, a span lies in one if the largest end so far is beyond its own."""
+    both = F.sort_array(F.concat(base, found))
+    new = F.lit(KINDS.index("random"))
+
+    def kept(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: F.when(s["rank"] < new, s["end"]).otherwise(F.lit(0))), F.greatest)
+        return let(ends, lambda e: F.filter(spans, lambda s, i: (s["rank"] == new) & (e[i] < s["end"])))
+
+    return let(both, kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -145,8 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
     t = text_or_empty()
     assign = _named(F.filter(_matches(t, ASSIGN, 2), lambda m: F.length(m["part"]) >= 8), "assign")
     base = F.sort_array(F.concat(assign, _named(_matches(t, ACCESS, 0), "access"), _named(_matches(t, HEX, 0), "hex")))
-    inside = lambda r, b: F.exists(b, lambda s: (s["start"] <= r["start"]) & (s["end"] >= r["end"]))
-    found = _let(base, lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, F.filter(_discoveries(t), lambda r: ~inside(r, b)))).alias("spans")))
+    found = let(base, lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, _outside(_discoveries(t), b))).alias("spans")))
     rest = [c for c in docs.columns if c not in ("base", "spans")]
     out = docs.select(*rest, found.alias("__found"))
     return out.select(*rest, F.col("__found.base").alias("base"), F.col("__found.spans").alias("spans"))
@@ -166,9 +176,26 @@ def redacted(scanned: DataFrame) -> DataFrame:
     """scan's rows with every span of the text replaced by a marker; spans that touch or overlap share one. A null text stays null."""
     t = text_or_empty()
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.concat(F.substring(t, a["end"] + 1, s["start"] - a["end"]), F.lit("[REDACTED-"), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when((s["start"] > a["end"]) | (a["out"] == ""), F.concat(a["out"], gap)).otherwise(a["out"]).alias("out"))
+    def pieces(found: Column) -> Column:
+        """What each span leaves of the text before it, and its marker. A block of spans looks into its own part of the text,
+        as finding a place takes time with what lies before it."""
+        width = F.ceil(F.sqrt(F.size(found))).cast("int")
+
+        def block(at: Column) -> Column:
+            here = F.slice(found, at, width)
+            first = here[0]["before"]
+            part = F.struct(first.alias("at"), F.substring(t, first + 1, F.greatest(F.element_at(here, -1)["start"] - first, F.lit(0))).alias("text"))
+
+            def piece(p: Column, s: Column) -> Column:
+                gap = F.concat(F.substring(p["text"], s["before"] - p["at"] + 1, s["start"] - s["before"]), F.lit("[REDACTED-"), s["kind"], F.lit("]"))
+                return F.when((s["start"] > s["before"]) | s["first"], gap).otherwise("")
+
+            return let(part, lambda p: F.array_join(F.transform(here, lambda s: piece(p, s)), ""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(found), width), block), "")
 
-    joined = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["end"] + 1, F.length(t))))
+    placed = F.zip_with("spans", running(F.transform("spans", lambda s: s["end"]), F.greatest), lambda s, e: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), e.alias("before")))
+    placed = F.transform(placed, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["before"].alias("before"), (i == 0).alias("first")))
+    tail = F.substring(t, F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(t))
+    joined = F.concat(let(placed, pieces), tail)
     return scanned.withColumn("text", F.when(F.size("spans") > 0, joined).otherwise(F.col("text"))).drop("base", "spans")

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,21 @@ def test_quality_statistics_and_verdicts(spark):
 @pytest.mark.parametrize("columns", ["doc_id long, text string, lang string, source string", "doc_id long, text string"])
 def test_quality_empty(spark, columns):
     assert quality_rules.judge(spark.createDataFrame([], columns)).where(F.col("kept")).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 20_000
+    text = "token=abcdefgh1 AUTH: 9aQx0LkT7vYc2WmZ5nRbE8uHsJ3dFg6p " * (n // 2)
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = secrets.report(secrets.scan(df)).collect()
+    clean = secrets.redacted(secrets.scan(df)).collect()
+    assert time.perf_counter() - start < 60
+    size = len(text) * 2 // n
+    want = [f"{kind}:{size * i + a}:{size * i + b}" for i in range(n // 2) for kind, a, b in (("assign", 0, 15), ("random", 22, 54))]
+    assert [r.spans.split(",") for r in got] == [want, want]
+    assert all(r.text == "[REDACTED-assign] AUTH: [REDACTED-random] " * (n // 2) for r in clean)
+
+
+def test_secrets_of_no_rows(spark):
+    assert secrets.report(secrets.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
