@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its words' hashes. Terms that occur with toxic labels more or less often than by chance are
-selected on a sample of labelled rows, and on these a factorization machine of degree two is fitted: a weight and
+selected on a sample of labelled rows, and the most frequent ones besides, and on these a factorization machine of degree two is fitted: a weight and
 a vector of ``FACTORS`` numbers for each term. The product of two terms' vectors is the weight of their meeting, so
 an insult and the mention of a group may count for more, or less, than both do alone.
 """
@@ -23,6 +23,8 @@ FACTORS = 8
 #: Labelled rows that the model is fitted on at most (the least by a hash of doc_id), and terms that it has at most.
 SAMPLE = 20_000
 TERMS = 8192
+#: Of these, the most frequent ones whatever they tell alone: a pair may tell what its halves don't.
+COMMON = 256
 LEAST_COUNT = 5
 LEAST_Z = 3.5
 EPOCHS = 20
@@ -54,7 +56,7 @@ class Machine:
     def sums(self, row: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Per row the raw score and the sum of its terms' vectors; ``at``: places of terms in ``term``."""
         v = self.factors[at]
-        first = np.stack([np.bincount(row, v[:, k], n) for k in range(v.shape[1])], 1)
+        first = np.array([np.bincount(row, v[:, k], n) for k in range(v.shape[1])]).reshape(-1, n).T
         square = np.bincount(row, (v**2).sum(1), n)
         return self.bias + np.bincount(row, self.weight[at], n) + 0.5 * ((first**2).sum(1) - square), first
 
@@ -85,7 +87,7 @@ def fitted(term: np.ndarray, row: np.ndarray, at: np.ndarray, label: np.ndarray,
             used, inv = np.unique(a, return_inverse=True)
             gw = np.bincount(inv, off[r], len(used)) + 1e-4 * m.weight[used]
             part = off[r][:, None] * (first[r] - m.factors[a])
-            gv = np.stack([np.bincount(inv, part[:, j], len(used)) for j in range(FACTORS)], 1) + 1e-3 * m.factors[used]
+            gv = np.array([np.bincount(inv, part[:, j], len(used)) for j in range(FACTORS)]).reshape(-1, len(used)).T + 1e-3 * m.factors[used]
             past_w[used] += gw**2
             past_v[used] += gv**2
             past_b += off.sum() ** 2
@@ -109,8 +111,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     rate = toxic / n if n else 0.0
     each = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") >= LEAST_COUNT)
     z = (F.col("t") - F.col("c") * rate) / F.sqrt(F.col("c") * rate * (1 - rate) + 1e-9)
-    chosen = each.select("term", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    term = np.array(sorted(r["term"] for r in chosen), np.int64)
+    telling = each.select("term", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS - COMMON).collect()
+    common = each.orderBy(F.desc("c"), "term").limit(COMMON).collect()
+    term = np.array(sorted({r["term"] for r in telling + common}), np.int64)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import nearest, toxicity
@@ -94,3 +95,24 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(before)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert docs.where("text RLIKE '[0-9a-f]{32}'").count() == 0
+
+
+@pytest.mark.parametrize(("factors", "right"), [(8, True), (0, False)])
+def test_pairs_tell_what_their_halves_do_not(spark, monkeypatch, factors, right):
+    """Toxic is one of two words without the other: a model of weights alone can't learn it."""
+    monkeypatch.setattr(toxicity, "FACTORS", factors)
+    rng, rows = random.Random(1), []
+    for i in range(3000):
+        words, one, other = [f"w{rng.randrange(300)}" for _ in range(12)], rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(words + ["alpha"] * one + ["beta"] * other), int(one != other)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.learn(docs, spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, toxic int"))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out()), machine, 0.5).where("held_out").collect()
+    share = sum(r.predicted == rows[r.doc_id][2] for r in scored) / len(scored)
+    assert share > 0.95 if right else share < 0.65
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    machine = toxicity.learn(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    got = toxicity.score(spark.createDataFrame([(1, "word other " * 300_000), (2, None)], "doc_id long, text string"), machine).collect()
+    assert [r.doc_id for r in got] == [1, 2] and got[0].score == got[1].score
