@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import ngram_join, packing, secrets, substring_dedup, toxicity
-from tessella.llm.common import delete_written, table, written
+from tessella.llm.common import by_ids, delete_written, table, written
 
 #: Near copies: so many hundredths of their shingles of so many words are common. op8's contract (4 and 85) binds only op8.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = ngram_join.link(docs, percent=NEAR_PERCENT, length=NEAR_WORDS).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return by_ids(docs, gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
