@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,8 +108,21 @@ def sliced(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 
 def cut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of about so many bytes of a text column: bounds what a worker holds beside a batch. Gives unused memory back."""
-    for b in batches:
+    """Batches in parts of about so many bytes of a text column: bounds what a worker holds beside a batch."""
+    for b in trimmed(batches):
         for start, n in sliced(b.column(column), size):
             yield b.slice(start, n)
+
+
+#: glibc's, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each the worker gives back memory that it has freed, as it lives on for other stages."""
+    for b in batches:
+        yield b
+        del b
         pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)

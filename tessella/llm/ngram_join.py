@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import by_ids, cut, delete_written, partitions, sliced, written
+from tessella.llm.common import by_ids, cut, delete_written, partitions, sliced, trimmed, written
 from tessella.llm.components import components
 from tessella.llm.substring_dedup import _firsts, _groups, _mix, run_hashes
 
@@ -49,7 +49,7 @@ FREQUENT_LEAST = 4
 FREQUENT = 1 << 18
 
 #: Bytes of text that a worker takes at a time: those of a batch's rows, and those that are cut into words.
-ROWS_BYTES, WORDS_BYTES = 6_000_000, 2_000_000
+ROWS_BYTES, WORDS_BYTES = 4_000_000, 1_000_000
 
 
 def batch_shingles(texts: pa.Array, length: int) -> Iterator[np.ndarray]:
@@ -225,7 +225,7 @@ def _bounded(percent: int):
     """Of pairs (u, v) with their sizes and bitmaps those that may be similar enough."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             u, v, n, m, one, two = b.columns
             differ = [int(np.bitwise_count(np.bitwise_xor.reduce(folded([x, y]), axis=0)).sum()) for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True)]
             ok = pa.array(may_link(n.to_numpy(), m.to_numpy(), np.array(differ, np.int64), percent), pa.bool_())
@@ -238,7 +238,7 @@ def _links(percent: int, length: int):
     """(u, v) of the pairs whose sets are similar enough; rows: two ids and two texts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             ok = []
             texts = [c.dictionary_encode() for c in b.columns[2:]]
             sets = [list(batch_shingles(t.dictionary, length)) for t in texts]
@@ -278,7 +278,7 @@ def _crossed(percent: int, forest: bool):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-        for b in batches:
+        for b in trimmed(batches):
             for k, x, y, side, doc, label, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k, x, y) != now:
                     if len(rows) > 1 and (got := compared(rows, now[1] == now[2])):

@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, partitions
+from tessella.llm.common import cut, partitions, trimmed
 
 WINDOW = 50
 
 #: Bytes of text that a worker takes at a time.
-ROWS_BYTES = 8_000_000
+ROWS_BYTES = 4_000_000
 
 #: A perfect difference set modulo 31; every distance is a difference of two of its elements.
 COVER_PERIOD = 31
@@ -150,7 +150,7 @@ def _anchors(window: int):
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
     """Columns of a partition sorted by its first n_keys columns, in blocks that end where a key ends."""
     kept: list[list[np.ndarray]] = []
-    for b in batches:
+    for b in trimmed(batches):
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if not b.num_rows:
             continue

@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a generation that a worker keeps, of which there are two, and the longest token that it keeps: about 90 MB.
-CACHE_ENTRIES = 200_000
+#: Entries of a generation that a worker keeps, of which there are two, and the longest token that it keeps: about 50 MB.
+CACHE_ENTRIES = 120_000
 CACHE_CHARS = 48
 
 #: Bytes of text that a worker encodes at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_500_000
 
 #: Characters that lower-case one to one and have no marks to compose: printable ASCII, its white space and Latin-1 letters.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
