@@ -21,8 +21,21 @@ BROAD = (
     "summarize this project", "summarise this project", "summary of the project", "summarize the project", "summarise the project", "main themes", "overall", "high level", "high-level",
     "what are these documents about", "across these documents", "the whole project",
 )
-CODE_TERMS = ("function", "method", "class ", "struct", "enum", "trait", "interface", "implementation", "implemented", "defined", "call site", "callers", "signature", "stack trace", "compile", "refactor")
-IDIOMS = frozenset("new default from into clone drop fmt main test init len is_empty iter next run get set build parse".split())
+CODE_TERMS = ("function", "implement", "method", "struct", "trait", "fn ", "class ", "def ", "in the code", "code that")
+#: Phrases that count only beside a code file's name or one of the verbs.
+LOCATORS = ("which file", "where is")
+CODE_VERBS = (
+    "computed", "calculated", "defined", "declared", "handled", "parsed", "called", "invoked", "initialized", "configured", "validated", "assessed", "determined", "resolved", "enforced", "thrown", "raised",
+)
+#: Extensions of code files.
+CODE_EXTENSIONS = ("rs", "py", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go", "java", "c", "h", "cpp", "cc", "rb", "php", "swift", "kt", "scala", "cs", "sh", "lua")
+#: Names that many types define for themselves, and beginnings of such names.
+IDIOMS = (
+    "new", "default", "parse", "build", "from", "into", "from_str", "as_str", "as_ref", "as_mut", "clone", "to_string", "to_owned", "drop", "deref", "deref_mut", "fmt", "eq", "ne", "hash", "cmp", "partial_cmp",
+    "next", "len", "is_empty", "iter", "into_iter", "default_config_path", "main", "run", "init", "setup", "render", "update", "handle", "call", "apply", "load", "save", "open", "close", "read", "write", "flush",
+    "poll", "start", "stop", "name", "kind", "value",
+)
+IDIOM_BEGINNINGS = ("with_", "set_", "get_", "is_", "to_", "from_", "on_", "try_")
 
 
 @dataclass(frozen=True)
@@ -66,14 +79,37 @@ def is_broad(question: str) -> bool:
     return any(p in question.lower() for p in BROAD)
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def code_intent(question: Column) -> Column:
+    """Whether questions ask about code: by a phrase, a snake_case name, or a locator beside a code file or a verb of doing."""
+    q = ascii_lower(question)
+    snake = question.rlike(r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]{4})[\p{L}\p{N}]*_")
+    file = q.rlike(rf"(?<!\S)[^\p{{L}}\p{{N}}\s]*[\p{{L}}\p{{N}}]\S*\.({'|'.join(CODE_EXTENSIONS)})[^\p{{L}}\p{{N}}\s]*(?!\S)")
+    among = lambda phrases: F.greatest(*[F.contains(q, F.lit(p)) for p in phrases])
+    return snake | among(CODE_TERMS) | (among(LOCATORS) & (file | among(CODE_VERBS)))
+
+
 def is_code(question: str) -> bool:
-    q = question.lower()
-    locates = any(w in q.split() for w in ("where", "which", "find", "show", "locate"))
-    return any(t in q for t in CODE_TERMS) or bool(re.search(r"\b[a-z0-9]+_[a-z0-9_]+\b", q)) or (locates and bool(re.search(r"\.(rs|py|js|ts|go|java|c|cpp)\b", q)))
+    """code_intent of one question."""
+    q = "".join(c.lower() if c.isascii() else c for c in question)
+    if any(len(w) >= 4 and "_" in w for w in re.findall(r"\w+", question)) or any(t in q for t in CODE_TERMS):
+        return True
+    bare = [re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in q.split()]
+    return any(x in q for x in LOCATORS) and (any("." in w and w.rsplit(".", 1)[1] in CODE_EXTENSIONS for w in bare) or any(v in q for v in CODE_VERBS))
+
+
+def idiom(name: Column) -> Column:
+    """Whether symbols are idioms, of which no definition is the right one."""
+    n = ascii_lower(name)
+    return n.isin(*IDIOMS) | F.greatest(*[F.startswith(n, F.lit(b)) for b in IDIOM_BEGINNINGS])
 
 
 def is_idiom(name: str) -> bool:
-    return name.lower() in IDIOMS or name.lower().startswith(("with_", "set_", "get_", "is_", "to_", "from_", "on_", "try_"))
+    n = name.lower()
+    return n in IDIOMS or n.startswith(IDIOM_BEGINNINGS)
 
 
 def seconds(duration: str) -> int | None:

@@ -94,9 +94,10 @@ def resolved(edges: DataFrame, imports: DataFrame | None = None, cap: int = COMM
         pairs = pairs.withColumn("known", F.lit(None).cast("boolean"))
     tried = F.when(F.col("known"), 0).when(paths.parent("caller") == paths.parent("target"), 1).otherwise(2)
     pairs = pairs.withColumn("__t", tried)
-    best = pairs.groupBy("caller", "symbol").agg(F.min("__t").alias("__best"))
+    # A caller and a symbol have ``cap`` targets at most, so a window's group is small.
+    pairs = pairs.withColumn("__best", F.min("__t").over(Window.partitionBy("caller", "symbol")))
     tier = F.when(F.col("__t") == 0, "import").when(F.col("__t") == 1, "same_dir").otherwise("bare")
-    return pairs.join(best, ["caller", "symbol"]).where("__t = __best").select("caller", "symbol", "target", tier.alias("tier"))
+    return pairs.where("__t = __best").select("caller", "symbol", "target", tier.alias("tier"))
 
 
 def tier_rank(tier: str = "tier"):

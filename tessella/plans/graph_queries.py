@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import graph, insights
 from tessella.plans.registry import query
 from tessella.sources import views
-from tessella.sources.shared import cut
+from tessella.sources.shared import cut, stored
 from tessella.sources.views import CALLS, LINKS
 
 _RESOLVED = f"""{CALLS},
@@ -22,7 +22,8 @@ graph AS (SELECT caller AS source, target, count(DISTINCT symbol) AS weight, CAS
 
 
 def _resolved(spark, sf):
-    return graph.resolved(views.calls(spark, sf))
+    # The edges are read three times: once they are written, their joins run once.
+    return graph.resolved(stored(views.calls(spark, sf)))
 
 
 @query("grf01_outgoing", f"WITH {LINKS} SELECT DISTINCT kind, to_ref FROM edges WHERE from_path = (SELECT min(url) FROM pages)")

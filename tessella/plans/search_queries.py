@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import paths, text
+from tessella.functions import paths, predicates, text
 from tessella.operators import chunking, evaluation, search
 from tessella.plans.registry import query
 from tessella.sources import views
@@ -191,3 +191,40 @@ def _gold(spark, sf):
 @query("strf6_ancestors", f"WITH {FILES} SELECT path, unnest(['/corpus', regexp_extract(path, '^(/[^/]*/[^/]*)', 1), parent_path]) AS ancestor FROM files")
 def _(spark, sf):
     return views.files(spark, sf).select("path", F.explode(paths.ancestors("path")).alias("ancestor"))
+
+
+_ASKED = """asked AS (SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'Where is the ' || p_name || ' computed' WHEN 1 THEN 'which file has the ' || p_name
+  WHEN 2 THEN 'where is ' || p_name || ' in (parser.RS)?' WHEN 3 THEN 'explain ' || replace(p_name, ' ', '_') WHEN 4 THEN 'the ' || p_name || ' Function'
+  WHEN 5 THEN 'where is the ' || p_name || ' page.html' WHEN 6 THEN 'who called ' || p_name ELSE p_name END AS question FROM part)"""
+
+
+def _asked(spark, sf):
+    name, k = F.col("p_name"), F.col("p_partkey") % 8
+    cases = (
+        F.concat(F.lit("Where is the "), name, F.lit(" computed")), F.concat(F.lit("which file has the "), name), F.concat(F.lit("where is "), name, F.lit(" in (parser.RS)?")),
+        F.concat(F.lit("explain "), F.replace(name, F.lit(" "), F.lit("_"))), F.concat(F.lit("the "), name, F.lit(" Function")), F.concat(F.lit("where is the "), name, F.lit(" page.html")),
+        F.concat(F.lit("who called "), name), name,
+    )
+    question = F.element_at(F.array(*cases), (k + 1).cast("int"))
+    return views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), question.alias("question"))
+
+
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query("flt09_code_intent", rf"""WITH {_ASKED}, q AS (SELECT id, question, lower(question) AS q FROM asked)
+SELECT id, {_any("q", predicates.CODE_TERMS)} OR len(list_filter(regexp_split_to_array(question, '[^a-zA-Z0-9_]+'), lambda w: len(w) >= 4 AND contains(w, '_'))) > 0
+  OR ({_any("q", predicates.LOCATORS)} AND ({_any("q", predicates.CODE_VERBS)}
+    OR len(list_filter(list_transform(string_split(q, ' '), lambda w: regexp_extract(w, '\.([a-z]+)[^a-z0-9]*$', 1)), lambda e: e IN {predicates.CODE_EXTENSIONS!r})) > 0)) AS code FROM q""")
+def _(spark, sf):
+    return _asked(spark, sf).select("id", predicates.code_intent(F.col("question")).alias("code"))
+
+
+@query("flt11_idioms", f"""WITH names AS (SELECT p_partkey AS id, string_split(p_name, ' ')[1] AS word, ['New', 'get_', 'test', 'len', '', 'value', 'as_str', 'reset_'][p_partkey % 8 + 1] AS head FROM part)
+SELECT id, lower(n) IN {predicates.IDIOMS!r} OR {" OR ".join(f"starts_with(lower(n), '{b}')" for b in predicates.IDIOM_BEGINNINGS)} AS idiom
+FROM (SELECT id, CASE WHEN ends_with(head, '_') OR head = '' THEN head || word ELSE head END AS n FROM names)""")
+def _(spark, sf):
+    head = F.element_at(F.array(*map(F.lit, ("New", "get_", "test", "len", "", "value", "as_str", "reset_"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    name = F.when(F.endswith(head, F.lit("_")) | (head == ""), F.concat(head, F.split("p_name", " ")[0])).otherwise(head)
+    return views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), predicates.idiom(name).alias("idiom"))

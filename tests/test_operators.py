@@ -183,3 +183,15 @@ def test_similar_pairs_are_whole_beyond_2000_vectors(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert {r.path for r in similar.clusters(df, 0.4).collect()} == {p for k in want for p in k}
     assert similar.similar_pairs(df.limit(0), 0.4).count() == 0
+
+
+def test_code_questions(spark):
+    """The column and the scalar form agree; document questions don't count as ones about code."""
+    asked = {
+        "how is it done in the code": True, "where is auth handled": True, "which file has the contract": False, "where is the budget spreadsheet": False, "where is x in (main.RS)?": True,
+        "where is page.html": False, "which terms are defined in the lease": False, "explain my_name": True, "a_b": False, "": False, "Def of done": True,
+    }
+    got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", predicates.code_intent(F.col("q")).alias("code")).collect()
+    assert {r.q: r.code for r in got} == asked == {q: predicates.is_code(q) for q in asked}
+    names = spark.createDataFrame([(n,) for n in ("Len", "get", "get_x", "test", "value")], "n string").select(predicates.idiom(F.col("n")).alias("i")).collect()
+    assert [r.i for r in names] == [True, False, True, False, True]
