@@ -87,12 +87,14 @@ def resolved(edges: DataFrame, imports: DataFrame | None = None, cap: int = COMM
     calls = edges.where("kind = 'calls'").select(F.col("from_path").alias("caller"), F.col("to_ref").alias("symbol")).distinct()
     if drop_own:
         calls = calls.join(defines.select(F.col("target").alias("caller"), "symbol"), ["caller", "symbol"], "left_anti")
+    # Directories are found for each end once, not for each pair.
+    calls, defines = calls.withColumn("__from", paths.parent("caller")), defines.withColumn("__to", paths.parent("target"))
     pairs = calls.join(defines, "symbol").where("caller <> target")
     if imports is not None:
-        pairs = pairs.join(imports.select(F.col("from_path").alias("caller"), "target", F.lit(True).alias("known")), ["caller", "target"], "left")
+        pairs = pairs.join(imports.select(F.col("from_path").alias("caller"), "target", F.lit(True).alias("known")).distinct(), ["caller", "target"], "left")
     else:
         pairs = pairs.withColumn("known", F.lit(None).cast("boolean"))
-    tried = F.when(F.col("known"), 0).when(paths.parent("caller") == paths.parent("target"), 1).otherwise(2)
+    tried = F.when(F.col("known"), 0).when(F.col("__from") == F.col("__to"), 1).otherwise(2)
     pairs = pairs.withColumn("__t", tried)
     # A caller and a symbol have ``cap`` targets at most, so a window's group is small.
     pairs = pairs.withColumn("__best", F.min("__t").over(Window.partitionBy("caller", "symbol")))
@@ -122,12 +124,12 @@ def noisy(path: str):
 
 
 def code_graph(calls: DataFrame, most: int | None = None, strict: bool = False) -> DataFrame:
-    """(source, target, weight, tier) of resolved calls: a unit for each symbol, the best tier of them, no vendored files.
+    """(source, target, weight, tier) of ``resolved``'s rows, which are distinct: a unit for each symbol, the best tier of them, no vendored files.
     With ``most`` the heaviest only."""
     rows = calls.where(~noisy("caller") & ~noisy("target"))
     if strict:
         rows = rows.where("tier <> 'bare'")
-    out = rows.groupBy(F.col("caller").alias("source"), "target").agg(F.countDistinct("symbol").alias("weight"), F.min(tier_rank()).alias("t"))
+    out = rows.groupBy(F.col("caller").alias("source"), "target").agg(F.count("*").alias("weight"), F.min(tier_rank()).alias("t"))
     out = out.select("source", "target", "weight", F.element_at(F.array(*map(F.lit, TIERS)), F.col("t").cast("int")).alias("tier"))
     return out if most is None else out.orderBy(F.desc("weight"), "source", "target").limit(most)
 
