@@ -15,7 +15,7 @@ CACHE_ENTRIES = 120_000
 CACHE_CHARS = 48
 
 #: Bytes of text that a worker encodes at a time.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 2_500_000
 
 #: Characters that lower-case one to one and have no marks to compose: printable ASCII, its white space and Latin-1 letters.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
