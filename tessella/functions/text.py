@@ -93,17 +93,32 @@ SECRETS = (
 ASSIGNMENT = r"""(?i)\b(api[_-]?key|secret|token|password|passwd|access[_-]?key)\b(\s*[:=]\s*)['"]?[A-Za-z0-9_\-./+]{12,}['"]?"""
 
 
+#: Of the pieces below every text with a secret holds one, whatever its case.
+_PIECES = ("private key-----", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "sk-", "eyj", "k_live_", "k_test_", "whsec_", "glpat-", "npm_", "sg.", "ya29.", "://", "api", "secret", "token", "passw", "access")
+
+
+def _may_hold_secrets(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in _PIECES])
+
+
+def _all_replaced(text: Column) -> Column:
+    for kind, pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, f"[REDACTED-{kind}]")
+    return F.regexp_replace(text, ASSIGNMENT, "$1$2[REDACTED-secret]")
+
+
 def redacted(text: Column | str) -> Column:
     """Secrets replaced by markers; of an assignment the name and what follows it stay."""
     t = _c(text)
-    for kind, pattern in SECRETS:
-        t = F.regexp_replace(t, pattern, f"[REDACTED-{kind}]")
-    return F.regexp_replace(t, ASSIGNMENT, "$1$2[REDACTED-secret]")
+    return F.when(_may_hold_secrets(t), _all_replaced(t)).otherwise(t)
 
 
 def redactions(text: Column | str) -> Column:
-    """The number of markers that redaction leaves."""
-    return F.regexp_count(redacted(text), F.lit(r"\[REDACTED-[a-z-]+\]")).cast("long")
+    """The number of markers that redaction puts in; those that stood in the text before don't count."""
+    t = _c(text)
+    fresh = F.regexp_count(_all_replaced(F.replace(t, F.lit("[REDACTED-"), F.lit("[REDACTED="))), F.lit(r"\[REDACTED-[a-z-]+\]")).cast("long")
+    return F.when(_may_hold_secrets(t), fresh).otherwise(F.when(t.isNotNull(), F.lit(0)).cast("long"))
 
 
 #: Letters with marks, and the plain ones that stand for them in search.

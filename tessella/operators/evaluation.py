@@ -14,22 +14,38 @@ def path_matches(path: Column, expected: Column) -> Column:
 
 
 def containing(docs: DataFrame, passages: DataFrame, id_column: str, words: int = 5) -> DataFrame:
-    """(question, id) where a text holds a passage. The two meet by a hash of the passage's first words, so no text is
-    compared with all passages; a passage of fewer words is found by none."""
-    tokens = F.split(F.col("text"), r"[^\p{L}\p{N}]+")
-
-    def runs(t: Column) -> Column:
+    """(question, id) where a text holds a passage. The two meet by an equality, so no text is compared with all passages: by
+    the first ``words`` words of a passage that stand whole in it (its first and last word may be parts of longer ones in the
+    text), by all of them where there are fewer, and where there is none by the passage's first three characters. An empty
+    passage, or none, is held by no text."""
+
+    def split(t: Column) -> Column:
+        return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    inner = split(F.col("passage"))
+    n = F.least(F.lit(words), F.size(inner) - 2)
+    asked = passages.select("question", "passage").where("passage <> ''")
+    asked = asked.withColumns({"n": F.greatest(n, F.lit(0)), "k": F.least(F.lit(3), F.length("passage"))})
+    key = F.when(F.col("n") > 0, F.xxhash64("n", F.array_join(F.slice(inner, F.lit(2), F.col("n")), " "))).otherwise(F.xxhash64(-F.col("k"), F.substring("passage", 1, 3)))
+    asked = asked.withColumn("h", key)
+
+    def runs(m: int) -> Column:
         def of(w: Column) -> Column:
-            last = F.size(w) - words
-            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " "))))
+            last = F.size(w) - m
+            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(m), F.array_join(F.slice(w, i + 1, m), " ")))).otherwise(F.array().cast("array<bigint>"))
 
         # By way of an array of one, so that the words are split once and not for every run.
-        return F.transform(F.array(F.filter(t, lambda x: x != "")), of)[0]
+        return F.transform(F.array(split(F.col("text"))), of)[0]
+
+    def grams(k: int) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))), lambda g: F.xxhash64(F.lit(-k), g))
 
-    asked = passages.select("question", "passage", F.split("passage", r"[^\p{L}\p{N}]+").alias("t")).select("question", "passage", runs(F.col("t")).alias("r"))
-    # The first and the last word of a passage may stand in the middle of a longer one of the text.
-    asked = asked.select("question", "passage", F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("h")).where("h IS NOT NULL")
-    met = docs.select(id_column, F.explode(F.array_distinct(runs(tokens))).alias("h")).join(asked, "h").select(id_column, "question", "passage").distinct()
+    # The kinds of keys that passages have: at most as many as there are words in a run, and three.
+    kinds = [(r.n, r.k) for r in asked.select("n", F.when(F.col("n") > 0, 0).otherwise(F.col("k")).alias("k")).distinct().collect()]
+    if not kinds:
+        return docs.select(F.lit(None).alias("question"), id_column).where("false")
+    keys = F.array_distinct(F.concat(*[runs(n) if n > 0 else grams(k) for n, k in kinds]))
+    met = docs.where("text IS NOT NULL").select(id_column, F.explode(keys).alias("h")).join(asked.select("question", "passage", "h"), "h").select(id_column, "question", "passage").distinct()
     return met.join(docs.select(id_column, "text"), id_column).where(F.contains("text", "passage")).select("question", id_column)
 
 

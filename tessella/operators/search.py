@@ -132,8 +132,20 @@ def cap_per_file(hits: DataFrame, cap: int, rank: str = "rank") -> DataFrame:
     """A new order (``place`` from 0): up to ``cap`` hits of each file, files by their first hit, then all others likewise."""
     of_file = Window.partitionBy("entry_path").orderBy(rank)
     rows = hits.withColumns({"__n": F.row_number().over(of_file), "__first": F.min(rank).over(Window.partitionBy("entry_path"))})
-    order = Window.orderBy(F.col("__n") > cap, "__first", "__n")
-    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("__n", "__first")
+    return numbered(rows.withColumn("__tail", F.col("__n") > cap), ["__tail", "__first", "__n"], "__first").drop("__n", "__first", "__tail")
+
+
+def numbered(rows: DataFrame, order: list[str], by: str, parts: int = 256) -> DataFrame:
+    """rows with ``place`` from 0 in the order of columns, of which the first is a flag and ``by``, a number, the second. Each flag is split
+    at quantiles of ``by``; only the sizes of those ranges meet in one task."""
+    flag = order[0]
+    cuts = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)]).alias("c")).select(F.array_distinct(F.coalesce("c", F.array().cast(f"array<{dict(rows.dtypes)[by]}>"))).alias("__cuts"))
+    cut = rows.join(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col(by)))).drop("__cuts")
+    sizes = cut.groupBy(flag, "__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy(flag, "__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(flag, "__part", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(flag, "__part").orderBy(*order)) - 1
+    return cut.withColumn("__inside", inside).join(F.broadcast(starts), [flag, "__part"]).withColumn("place", (F.col("__before") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__before")
 
 
 def mmr_order(scores: np.ndarray, vectors: list[np.ndarray | None], lam: float) -> list[int]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
 from tessella.functions.text import abstract
+from tessella.sources.shared import stored
 
 
 def rolled_up(files: DataFrame, measures: dict[str, str], column: str = "path") -> DataFrame:
@@ -57,23 +60,26 @@ def summarised(files: DataFrame, most: int = 50, chars: int = 400) -> DataFrame:
     """Directories' summaries bottom-up: (path, kind, parent_path, depth, summary, summary_l0, byte_size, child_count). files:
     summaries of files. A directory's text puts together the first sentences of so many children; its sizes count all.
 
-    One level after the other: a level depends on the one below it, and is a group-by over parents.
+    One level after the other: a level depends on the one below it alone, is one group-by over parents, and is written to the
+    shared folder, so the plan of the next one doesn't grow.
     """
     columns = ["path", "kind", "parent_path", "depth", "summary", "summary_l0", "byte_size", "child_count"]
-    done = files.withColumn("child_count", F.lit(0).cast("long")).select(*columns)
-    all_ = done
+    leaves = files.withColumn("child_count", F.lit(0).cast("long")).select(*columns)
+    levels, made = [leaves], None
     deepest = files.agg(F.max("depth")).first()[0] or 0
     for level in range(deepest - 1, 0, -1):
-        below = all_.where(F.col("depth") == level + 1)
+        below = leaves.where(F.col("depth") == level + 1)
+        below = below.unionByName(made) if made is not None else below
         rank = F.row_number().over(Window.partitionBy("parent_path").orderBy(F.desc("kind"), "path"))
         line = F.concat(F.lit("- "), paths.basename("path"), F.lit(": "), F.coalesce("summary_l0", F.lit("")))
         rows = below.withColumn("place", rank)
-        heads = rows.where(F.col("place") <= most).groupBy("parent_path").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l"))
-        sizes = rows.groupBy("parent_path").agg(F.sum("byte_size").alias("byte_size"), F.count("*").alias("child_count"))
+        heads = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", line.alias("line")))))
+        grouped = rows.groupBy("parent_path").agg(heads.alias("l"), F.sum("byte_size").alias("byte_size"), F.count("*").alias("child_count"))
         text = F.substring(F.array_join(F.col("l.line"), "\n"), 1, chars)
-        dirs = heads.join(sizes, "parent_path").select(F.col("parent_path").alias("path"), F.lit("dir").alias("kind"), F.coalesce(paths.parent("parent_path"), F.lit("/")).alias("parent_path"), F.lit(level).cast("long").alias("depth"), text.alias("summary"), "byte_size", "child_count")
-        all_ = all_.unionByName(dirs.withColumn("summary_l0", abstract("summary")).select(*columns))
-    return all_
+        dirs = grouped.select(F.col("parent_path").alias("path"), F.lit("dir").alias("kind"), F.coalesce(paths.parent("parent_path"), F.lit("/")).alias("parent_path"), F.lit(level).cast("long").alias("depth"), text.alias("summary"), "byte_size", "child_count")
+        made = stored(dirs.withColumn("summary_l0", abstract("summary")).select(*columns))
+        levels.append(made)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def fingerprints(children: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -57,14 +57,14 @@ def _(spark, sf):
     return tree.top_level(d.where(F.length("path") % 2 == 0).withColumn("is_primary", F.lit(True))).select("path")
 
 
-@query("agg17_fingerprints", """WITH k AS (SELECT DISTINCT c_nationkey AS path, c_mktsegment AS name FROM customer WHERE c_custkey % 40 < 2),
+@query("agg17_fingerprints", """WITH k AS (SELECT DISTINCT o_custkey AS path, o_orderpriority AS name FROM orders),
 h AS (SELECT path, list(name) AS names FROM k GROUP BY path),
-m AS (SELECT path, 'both' AS app, 2 AS specificity FROM h WHERE list_contains(names, 'BUILDING') AND list_contains(names, 'MACHINERY')
-UNION ALL SELECT path, 'any', 1 FROM h WHERE list_has_any(names, ['AUTOMOBILE', 'FURNITURE']) AND NOT list_contains(names, 'HOUSEHOLD'))
+m AS (SELECT path, 'both' AS app, 2 AS specificity FROM h WHERE list_contains(names, '1-URGENT') AND list_contains(names, '2-HIGH')
+UNION ALL SELECT path, 'any', 1 FROM h WHERE list_has_any(names, ['3-MEDIUM', '4-NOT SPECIFIED']) AND NOT list_contains(names, '5-LOW'))
 SELECT path, app, CAST(specificity AS BIGINT) AS specificity, row_number() OVER (PARTITION BY path ORDER BY specificity DESC, app) = 1 AS is_primary FROM m""")
 def _(spark, sf):
-    kids = views.table(spark, sf, "customer").where("c_custkey % 40 < 2").select(F.col("c_nationkey").alias("path"), F.col("c_mktsegment").alias("name"))
-    defs = [("both", 2, ["BUILDING", "MACHINERY"], [], []), ("any", 1, [], ["AUTOMOBILE", "FURNITURE"], ["HOUSEHOLD"]), ("never", 9, [], [], ["HOUSEHOLD"])]
+    kids = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderpriority").alias("name"))
+    defs = [("both", 2, ["1-URGENT", "2-HIGH"], [], []), ("any", 1, [], ["3-MEDIUM", "4-NOT SPECIFIED"], ["5-LOW"]), ("never", 9, [], [], ["5-LOW"])]
     return tree.fingerprints(kids, spark.createDataFrame(defs, "app string, specificity long, all_of array<string>, any_of array<string>, none_of array<string>"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
@@ -81,12 +81,17 @@ def binary(content: Column) -> Column:
     return F.contains(F.substring(content, 1, 8192), F.lit(bytearray(1))) & ~F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
 
 
-def hunks(diff: DataFrame) -> DataFrame:
-    """(path, first, last) of a unified diff as numbered lines (n, line): the new side's changed lines."""
-    from pyspark.sql import Window
-
+def hunks(diff: DataFrame, by: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """(by..., path, first, last) of unified diffs as numbered lines (n, line): the new side's changed lines. by: columns that tell diffs
+    apart, such as the commit. A file's name is carried within blocks of lines; one row of each block is carried further."""
     path = F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1)
-    named = diff.withColumn("p", F.last(F.when(path != "", path), ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("n")))
     head = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    rows = named.where(F.col("line").rlike(head)).select("p", F.regexp_extract("line", head, 1).cast("long").alias("first"), F.coalesce(F.nullif(F.regexp_extract("line", head, 2), F.lit("")).cast("long"), F.lit(1)).alias("n"))
-    return rows.where("n > 0").select(F.col("p").alias("path"), "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    lines = diff.where(F.col("line").rlike(r"^(\+\+\+ b/|@@ )")).withColumns({"block": F.floor(F.col("n") / block), "p": F.when(path != "", path)})
+    within = Window.partitionBy(*by, "block").orderBy("n")
+    lasts = lines.groupBy(*by, "block").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("n"))).alias("p"))
+    above = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*by, "block", F.last("p", ignorenulls=True).over(above).alias("carried"))
+    named = lines.withColumn("p", F.last("p", ignorenulls=True).over(within)).join(carried, [*by, "block"])
+    count = F.coalesce(F.nullif(F.regexp_extract("line", head, 2), F.lit("")).cast("long"), F.lit(1))
+    rows = named.where(F.col("line").rlike(head)).select(*by, F.coalesce("p", "carried").alias("path"), F.regexp_extract("line", head, 1).cast("long").alias("first"), count.alias("n"))
+    return rows.where("n > 0").select(*by, "path", "first", (F.col("first") + F.col("n") - 1).alias("last"))

@@ -77,7 +77,10 @@ def test_tree_of_files(spark, tmp_path):
 def test_hunks(spark):
     diff = ["diff --git a/x b/x", "+++ b/x.py", "@@ -1,2 +3,4 @@", "+a", "@@ -9 +20 @@", "+++ b/y.py", "@@ -5,2 +5,0 @@"]
     got = ingest.hunks(spark.createDataFrame(list(enumerate(diff)), "n long, line string")).collect()
-    assert [(r.path, r.first, r["last"]) for r in got] == [("x.py", 3, 6), ("x.py", 20, 20)]
+    assert sorted((r.path, r.first, r["last"]) for r in got) == [("x.py", 3, 6), ("x.py", 20, 20)]
+    two = [(c, i, line) for c in ("c1", "c2") for i, line in enumerate(["+++ b/" + c, *[" "] * 20, "@@ -1 +7,2 @@", *[" "] * 9, "@@ -3 +30 @@"])]
+    got = ingest.hunks(spark.createDataFrame(two, "commit string, n long, line string"), by=("commit",), block=4).collect()
+    assert sorted((r.commit, r.path, r.first, r["last"]) for r in got) == [(c, c, a, b) for c in ("c1", "c2") for a, b in ((7, 8), (30, 30))]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
