@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import paths, predicates, text
-from tessella.operators import chunking, evaluation, search
+from tessella.operators import chunking, evaluation, retrieve, search
 from tessella.plans.registry import query
 from tessella.sources import views
 from tessella.sources.views import FILES, NOW
@@ -28,8 +28,8 @@ fused AS (SELECT id, sum(1.0 / (r + 61)) AS score FROM ranks GROUP BY id ORDER B
 
 
 def sparse(spark, sf):
-    index, lengths = search.postings(views.table(spark, sf, "documents"), "doc_id")
-    return search.bm25(index, lengths, TERMS)
+    chunks = views.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieve.match(chunks, " ".join(TERMS), ("text",), phrased=False)
 
 
 def dense(spark, sf):
@@ -64,6 +64,12 @@ def _(spark, sf):
     return fused(spark, sf).withColumn("score", F.round("score", 9))
 
 
+@query("ret02_index", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM sparse")
+def _(spark, sf):
+    index, lengths = search.postings(views.table(spark, sf, "documents"), "doc_id")
+    return search.bm25(index, lengths, TERMS).withColumn("score", F.round("score", 6))
+
+
 @query("ret02_postings", f"WITH {_WORDS} SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM tokens) GROUP BY ALL")
 def _(spark, sf):
     return search.postings(views.table(spark, sf, "documents"), "doc_id")[0]
