@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import paths, predicates, text
-from tessella.operators import chunking, evaluation, export, graph, insights, retrieve, search, similar, state, tree
+from tessella.operators import chunking, classify, evaluation, export, graph, insights, retrieve, search, similar, state, tree
 from tessella.schema import SCHEMAS, empty
 
 
@@ -257,3 +257,21 @@ def test_retrieve(spark):
     assert ids(retrieve.retrieve(retrieve.Tables(chunks.where("false")), "parse", [1.0, 0.0], plain)) == []
     assert {r.stage for r in retrieve.trace(tables, "parse", [1.0, 0.0], plain).collect()} == {"sparse", "dense", "final"}
     assert retrieve.diversity(plain, "x") == 1.0 and retrieve.diversity(retrieve.Settings(mmr=-3), "x") == 0.0 and retrieve.diversity(retrieve.Settings(mmr=0.1), "the def of it") == 0.8
+
+
+def test_directory_hints(spark):
+    held = ["/p/Cargo.toml", "/q/target/CACHEDIR.TAG", "/w/.git", "/n/package.json", "/v/go.mod"]
+    entries = spark.createDataFrame([(p, p.rsplit("/", 1)[0]) for p in held], "path string, parent_path string")
+    asked = ["/p/target", "/q/target", "/z/target", "/w", "/n/dist", "/n/src", "/v/vendor", "/u/vendor", "/tmp", "/home/me/.ssh", "/home/me/Music", "/home/you/Music", "/x/My.photoslibrary", "/a/Library/Application Support/Firefox", "/a/Library/Application Support/Other", "/some/folder", None, ""]
+    got = {r.path: (r.label, r.policy) for r in classify.directory_hints(spark.createDataFrame([(p,) for p in asked], "path string"), entries, "/home/me").collect()}
+    assert got == {
+        "/p/target": ("Rust build output", "skip"), "/q/target": ("Rust build output", "skip"), "/w": ("Git repository", "index"), "/n/dist": ("JS/Python build output", "skip"), "/n/src": ("JavaScript/TypeScript project", "index"),
+        "/v/vendor": ("Vendored dependencies", "skip"), "/tmp": ("Virtual filesystem", "skip"), "/home/me/.ssh": ("SSH keys", "sensitive"), "/home/me/Music": ("Music", "index"), "/x/My.photoslibrary": ("Photos Library", "structure"),
+        "/a/Library/Application Support/Firefox": ("Firefox profile", "sensitive"), "/a/Library/Application Support/Other": ("macOS app support data", "structure"),
+    }
+
+
+def test_actionable(spark):
+    rows = [(1, "/a/x.png"), (1, "/b/x.PNG"), (2, "/a/x.rs"), (2, "/b/dist/x.rs"), (3, "/a/Cargo.toml"), (3, "/b/cargo.toml"), (4, "/a/q.rs"), (4, "/b/q.rs"), (5, None)]
+    got = {r.cluster: (r.actionable, r.siblings, r.same_name, r.same_parent) for r in classify.actionable(spark.createDataFrame(rows, "cluster long, path string")).collect()}
+    assert got == {1: (False, False, False, False), 2: (False, False, True, False), 3: (True, True, False, False), 4: (True, False, True, False)}
