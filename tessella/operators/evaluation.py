@@ -66,6 +66,27 @@ def scores(ranking: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     )
 
 
+def golden(ranking: DataFrame, expected: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question, k, retrieved, hit, first_rank, rr, precision, recall, ndcg) of each of questions (question, k): ranking (question, item,
+    place from 0) against expected (question, expect), paths as ``path_matches`` has them. A path may be found by several of its
+    chunks: precision counts them all, recall each expected path once. Zeros where nothing was found or expected."""
+    gold = expected.select(F.col("question").cast("long").alias("question"), "expect").distinct()
+    top = ranking.join(questions, "question").where(F.col("place") < F.col("k")).select("question", "item", "place")
+    pairs = top.join(gold, "question").where(path_matches(F.col("item"), F.col("expect")))
+    right = pairs.groupBy("question", "place").agg(F.lit(True).alias("rel"))
+    covered = pairs.groupBy("question").agg(F.count_distinct("expect").alias("covered"))
+    rows = top.join(right, ["question", "place"], "left").groupBy("question").agg(
+        F.count("*").alias("retrieved"), F.count_if("rel").alias("m"), (F.min(F.when(F.col("rel"), F.col("place"))) + 1).cast("long").alias("first_rank"), F.sum(F.when(F.col("rel"), 1 / F.log2(F.col("place") + 2))).alias("dcg")
+    )
+    s = questions.join(rows, "question", "left").join(covered, "question", "left").join(gold.groupBy("question").agg(F.count("*").alias("expected")), "question", "left")
+    share = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0)) / F.col(b)).otherwise(0.0)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("m").cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    return s.select(
+        "question", "k", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), F.coalesce(F.col("m") > 0, F.lit(False)).alias("hit"), "first_rank", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)).alias("rr"),
+        share("m", "retrieved").alias("precision"), share("covered", "expected").alias("recall"), F.when(F.col("m") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
+    )
+
+
 def aggregate(scored: DataFrame) -> DataFrame:
     """Means over questions; zeros where there are none."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths, predicates
 from tessella.functions.text import is_stub, search_tokens
-from tessella.operators import search
+from tessella.operators import ann, search
+from tessella.operators import index as inverted
 from tessella.sources.shared import stored
 
-FIELDS = ("text", "heading", "entry_path", "chunk_id")
+FIELDS = inverted.FIELDS
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,8 @@ class Settings:
 @dataclass(frozen=True)
 class Tables:
     """chunks: (chunk_id, entry_path, heading, text, embedding); the others only where there are any: summaries (path, depth,
-    embedding), weights, classifications, files (path, modified_s)."""
+    embedding), weights, classifications, files (path, modified_s), an inverted index of the chunks, and a graph of their vectors
+    (``ann.build``). Without an index texts are read once for each question, without a graph vectors are."""
 
     chunks: DataFrame
     summaries: DataFrame | None = None
@@ -46,6 +48,8 @@ class Tables:
     classifications: DataFrame | None = None
     files: DataFrame | None = None
     fields: tuple[str, ...] = field(default=FIELDS)
+    index: inverted.Index | None = None
+    graph: DataFrame | None = None
 
 
 def match(chunks: DataFrame, question: str, fields: tuple[str, ...] = FIELDS, admitted: Column | None = None, limit: int = search.ARM, phrased: bool = True) -> DataFrame:
@@ -92,8 +96,15 @@ def pool(tables: Tables, question: str, vector: list[float] | None, settings: Se
     where = F.coalesce(where & also if also is not None else where, F.lit(False))
     arms = []
     if settings.mode != "dense":
-        arms.append(match(tables.chunks, question, tables.fields, where))
-    if settings.mode != "sparse" and vector is not None:
+        if tables.index is not None and also is None:
+            one = tables.chunks.sparkSession.createDataFrame([(0, question)], "question long, text string")
+            inside = paths.under("entry_path", settings.scope) if settings.scope else F.lit(True)
+            arms.append(inverted.sparse(tables.index, one, ~F.col("stub") & inside).select("id", "score"))
+        else:
+            arms.append(match(tables.chunks, question, tables.fields, where))
+    if settings.mode != "sparse" and vector is not None and tables.graph is not None and also is None and not settings.scope:
+        arms.append(ann.dense(tables.chunks.where(where), vector, search.ARM, None, tables.graph))
+    elif settings.mode != "sparse" and vector is not None:
         arms.append(search.cosine_top(tables.chunks.where(where), vector, search.ARM, "chunk_id"))
     if not arms:
         return tables.chunks.select("chunk_id", F.lit(0.0).alias("rrf_score")).where("false")

@@ -7,10 +7,12 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import retrieve, search
+from tessella.operators import ann, batch, retrieve, search
+from tessella.operators import index as inverted
 from tessella.plans.registry import query
 from tessella.plans.search_queries import _WEIGHTS, _weights
 from tessella.sources import views
+from tessella.sources.shared import stored
 from tessella.sources.views import FILES, NOW
 
 #: A question of words in texts, and one of words in paths and headings.
@@ -108,3 +110,71 @@ _ARM = "SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC,
 a AS ({_ARM.format('sparse')}), b AS ({_ARM.format('dense')}) {_placed('a', 'sparse')} UNION ALL {_placed('b', 'dense')} UNION ALL {_placed('final', 'final')}""")
 def _(spark, sf):
     return retrieve.trace(_tables(spark, sf), WORDS, _vector(spark, sf), SETTINGS).withColumn("score", F.round("score", 9))
+
+
+_NEAR = """SELECT "query", id, rank, round(score, 9) AS score FROM (
+  SELECT a.vec_id AS "query", b.vec_id AS id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(score, 9) DESC, b.vec_id) - 1 AS rank
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0) a, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b) WHERE rank < 20"""
+
+
+@query("ret04_graph_nearest", _NEAR)
+def _(spark, sf):
+    v = views.table(spark, sf, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return ann.nearest(stored(ann.build(v, "vec_id")), asked, 20).select("query", "id", "rank", F.round("score", 9).alias("score"))
+
+
+@query("ret05_dense_scoped", f"""WITH {_CHUNKS}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = {ASKED})
+SELECT chunk_id AS id, round(list_dot_product(embedding, q) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(q, q))), 9) AS score FROM chunks, q WHERE embedding IS NOT NULL AND starts_with(entry_path, '/corpus/src1/') ORDER BY 2 DESC, 1 LIMIT 30""")
+def _(spark, sf):
+    chunks = _tables(spark, sf).chunks
+    graph = stored(ann.build(chunks)) if ann.worth(chunks) else None
+    return ann.dense(chunks, _vector(spark, sf), 30, "/corpus/src1", graph).withColumn("score", F.round("score", 9))
+
+
+#: (number, text, id of the vector that stands for it, k, expected paths): golden questions of all kinds; the last finds nothing.
+GOLDEN = [(1, WORDS, 7, 60, ["en/doc7.txt", "doc3.txt"]), (2, PLACES, 11, 20, ["src1/en/doc1.txt"]), (3, "the of and", 20, 10, ["/corpus/src0"]), (4, "xyzzyq", None, 5, ["nowhere.txt"])]
+
+
+def _golden_sql() -> str:
+    parts = []
+    for n, words, asked, k, _ in GOLDEN:
+        arms = {"a": "sparse", "b": "dense"} if asked is not None else {"a": "sparse"}
+        near = _DENSE.replace(f"vec_id = {ASKED}", f"vec_id = {asked}") if asked is not None else "none AS (SELECT 1)"
+        parts.append(f"SELECT {n} AS question, chunk_id, score, place FROM (WITH {_match(words, _STUB)}, {near}, {_stages(arms, k)} {_placed('final')})")
+    return " UNION ALL ".join(parts)
+
+
+def _golden(spark, sf):
+    v = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = spark.createDataFrame([(n, t, a, k) for n, t, a, k, _ in GOLDEN], "question long, text string, vec_id long, k int")
+    expected = spark.createDataFrame([(n, p) for n, *_, e in GOLDEN for p in e], "question long, expect string")
+    return rows.join(v, "vec_id", "left").drop("vec_id"), expected
+
+
+def _indexed(tables: retrieve.Tables) -> retrieve.Tables:
+    """With a written index."""
+    made = inverted.build(tables.chunks)
+    return replace(tables, index=inverted.Index(stored(made.postings), stored(made.rows)))
+
+
+@query("evl05_batch", f"WITH {_CHUNKS} {_golden_sql()}")
+def _(spark, sf):
+    got = batch.retrieve(_indexed(_tables(spark, sf)), _golden(spark, sf)[0], SETTINGS)
+    return got.select("question", "chunk_id", F.round("rrf_score", 9).alias("score"), "place")
+
+
+_EXPECTED = ", ".join(f"({n}, '{p}')" for n, *_, e in GOLDEN for p in e)
+
+
+@query("evl05_golden", f"""WITH {_CHUNKS}, expected(question, expect) AS (VALUES {_EXPECTED}), asked(question, k) AS (VALUES {', '.join(f'({n}, {k})' for n, _, _, k, _ in GOLDEN)}),
+found AS ({_golden_sql()}), top AS (SELECT f.question, f.place, c.entry_path AS item FROM found f JOIN chunks c USING (chunk_id) JOIN asked a ON a.question = f.question WHERE f.place < a.k),
+pairs AS (SELECT t.*, e.expect FROM top t JOIN expected e ON e.question = t.question AND (t.item = e.expect OR (NOT starts_with(e.expect, '/') AND ends_with(t.item, '/' || e.expect)))),
+per AS (SELECT question, count(DISTINCT place) AS m, min(place) + 1 AS first_rank, count(DISTINCT expect) AS covered FROM pairs GROUP BY question),
+gains AS (SELECT question, sum(1 / log2(place + 2)) AS dcg FROM (SELECT DISTINCT question, place FROM pairs) GROUP BY question)
+SELECT a.question, a.k::BIGINT AS k, coalesce(n, 0) AS retrieved, coalesce(m > 0, false) AS hit, first_rank, round(coalesce(1.0 / first_rank, 0.0), 9) AS rr, round(coalesce(m / n, 0.0), 9) AS "precision",
+  round(coalesce(covered, 0) / (SELECT count(*) FROM expected e WHERE e.question = a.question), 9) AS recall, round(coalesce(dcg / list_sum(list_transform(range(1, m + 1), lambda i: 1 / log2(i + 1))), 0.0), 9) AS ndcg
+FROM asked a LEFT JOIN (SELECT question, count(*) AS n FROM top GROUP BY question) t USING (question) LEFT JOIN per USING (question) LEFT JOIN gains USING (question)""")
+def _(spark, sf):
+    got = batch.evaluate(_indexed(_tables(spark, sf)), *_golden(spark, sf), SETTINGS)
+    return got.select("question", "k", "retrieved", "hit", "first_rank", *[F.round(c, 9).alias(c) for c in ("rr", "precision", "recall", "ndcg")])
