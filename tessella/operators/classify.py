@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import mimetypes
 from dataclasses import dataclass
 from functools import reduce
 
@@ -114,12 +113,14 @@ BY_EXTENSION = {
     "code": "ipynb sh bash zsh fish ksh csh tcsh ps1 psm1 psd1 bat cmd vbs html htm css scss sass less vue svelte astro graphql gql proto json5 jsonc sol jl lua clj cljs edn ex exs erl hrl hs ml mli scala kt kts swift dart nim zig rmd",
     "logs": "log",
 }
-#: Subtypes of application/ and what they are.
-BY_SUBTYPE = {
-    "documents": "pdf msword epub+zip vnd.oasis.opendocument.text vnd.oasis.opendocument.spreadsheet vnd.oasis.opendocument.presentation",
-    "archive": "zip x-tar gzip x-bzip x-bzip2 x-7z-compressed x-rar-compressed x-xz zstd",
-    "code": "json toml xml x-yaml",
-    "data": "x-sqlite3 vnd.sqlite3",
+#: Categories by further extensions, where the first table has none: what their media types or languages are.
+BY_TYPE = {
+    "media": "png jpg jpeg jpe jfif gif bmp dib tif tiff webp ico svg svgz avif heic heif psd jp2 jxl tga pcx pbm pgm ppm pnm xbm xpm ras cr2 nef arw dng "
+    "mp3 wav flac aac m4a ogg oga opus aif aiff aifc wma mid midi amr au snd ra mka weba mp4 m4v mov qt avi mkv webm wmv flv mpg mpeg mpe 3gp 3g2 ogv asf f4v",
+    "documents": "pdf doc dot docx dotx docm epub odt ods odp xls xlsx xlsm xlsb xlt ppt pptx pptm pps ppsx org adoc asciidoc textile pod rdoc mediawiki",
+    "code": "rs go java c h cpp cc cxx hpp hh hxx inl cs rb php py pyw pyi js mjs cjs jsx ts tsx cts coffee m mm pl pm r f f90 f95 pas asm s vb fs fsx fsi groovy gradle sql "
+    "json map xml xsl xslt xsd rng txt text md markdown rst tex bib diff patch cmake mk elm lisp el scm rkt vhd vhdl sv awk tcl d adb ads cr hx pug haml erb ejs hbs mustache styl ics vcf vtt srt ttl n3 wat rtf ps",
+    "data": "geojson topojson har webmanifest",
 }
 
 #: Extensions of assets, pieces of generated paths, and files that every project has.
@@ -130,34 +131,23 @@ GENERATED = (
 MANIFESTS = ("Cargo.toml", "package.json", "go.mod", "pyproject.toml", "Gemfile", "composer.json", "Package.swift", "pubspec.yaml")
 
 
-def _of_type(kind: str) -> str | None:
-    major, _, minor = kind.partition("/")
-    if major in ("image", "audio", "video"):
-        return "media"
-    if major in ("font", "text"):
-        return {"font": "font", "text": "code"}[major]
-    if minor.startswith(("vnd.openxmlformats-officedocument", "vnd.ms-")):
-        return "documents"
-    return next((c for c, subtypes in BY_SUBTYPE.items() if major == "application" and minor in subtypes.split()), None)
-
-
 def extensions() -> dict[str, str]:
-    """Every known extension's category: those of the table, then those whose media type tells it."""
-    told = {e: c for c, es in BY_EXTENSION.items() for e in es.split()}
-    typed = {e.lstrip(".").lower(): c for e, kind in sorted(mimetypes.types_map.items()) if (c := _of_type(kind))}
-    return typed | told
+    """Every known extension's category. The same on every machine: nothing but the tables tells."""
+    return {e: c for table in (BY_TYPE, BY_EXTENSION) for c, es in table.items() for e in es.split()}
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]), key)
 
 
-def file_category(path: Column) -> Column:
-    """The category of files by whole names, then extensions, then media types; null where nothing tells. The content isn't read."""
+def file_category(path: Column, content: Column | None = None) -> Column:
+    """The category of files by whole names, then extensions; null where nothing tells. Where the content is given, a file that
+    nothing else tells and that begins with an interpreter's line is code."""
     name, ending = paths.basename(path), paths.extension(path)
     secret = name.isin(*SECRET_NAMES) | F.startswith(name, F.lit(SECRET_BEGINNING))
+    script = F.when(content.rlike(r"^#! *\S"), "code") if content is not None else F.lit(None).cast("string")
     named = _lookup({n: c for c, ns in BY_NAME.items() for n in ns.split()}, name)
-    return F.when(secret, "sensitive").when(named.isNotNull(), named).when(ending.isin(*SECRET_EXTENSIONS), "sensitive").otherwise(_lookup(extensions(), ending))
+    return F.when(secret, "sensitive").when(named.isNotNull(), named).when(ending.isin(*SECRET_EXTENSIONS), "sensitive").otherwise(F.coalesce(_lookup(extensions(), ending), script))
 
 
 def file_policy(category: Column) -> Column:

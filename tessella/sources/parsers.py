@@ -1,7 +1,6 @@
 """Files into chunks, edges and symbols: a registry of parsers by name, and what they make of each format.
 
-A parser takes (name, bytes) and gives Parsed. Python is read with its own grammar; other languages by patterns of their
-declarations, which is approximate: a declaration in a comment or a string counts too.
+A parser takes (name, bytes) and gives Parsed. Python is read with its own grammar, languages with braces by their tokens.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 from tessella.operators.chunking import markdown_sections, word_windows
+from tessella.sources import lexers
 
 #: Caps against archives that unpack to more than fits: bytes of one entry, of all, and entries that are listed.
 ENTRY_BYTES, TOTAL_BYTES, LISTED = 16 << 20, 64 << 20, 5000
@@ -145,37 +145,14 @@ def _last_name(node: ast.AST) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
 
 
-#: Declarations, imports and heritage by language. Groups: a kind and a name, a module, a base.
-LANGUAGES = {
-    "rust": (("rs",), r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|mod|type)\s+(\w+)", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b"),
-    "go": (("go",), r"(?m)^(func|type)\s+(?:\([^)]*\)\s*)?(\w+)", r'(?m)^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"\s*$', r"(?!)()"),
-    "javascript": (("js", "jsx", "mjs", "cjs"), r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function\*?|class)\s+(\w+)", r"""(?:from\s+|require\(\s*|import\s+)["']([^"']+)["']""", r"\bextends\s+([\w.]+)"),
-    "typescript": (("ts", "tsx", "mts", "cts"), r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|enum|type)\s+(\w+)", r"""(?:from\s+|require\(\s*|import\s+)["']([^"']+)["']""", r"\b(?:extends|implements)\s+([\w.]+)"),
-    "java": (("java",), r"(?m)^\s*(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+)*(class|interface|enum|record)\s+(\w+)", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.]+)"),
-    "c": (("c", "h"), r"(?m)^(?:static\s+|inline\s+|extern\s+)*(struct|enum|union|\w[\w\s*]*?)\s+\**(\w+)\s*(?=\([^;]*\)\s*\{|\{)", r'(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]', r"(?!)()"),
-    "cpp": (("cc", "cpp", "cxx", "hpp", "hh"), r"(?m)^\s*(?:static\s+|inline\s+|virtual\s+)*(class|struct|enum|namespace|\w[\w\s*&:<>]*?)\s+[*&]*(\w+)\s*(?=\([^;]*\)\s*(?:const\s*)?\{|[^;(]*\{)", r'(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]', r"(?:class|struct)\s+\w+\s*:\s*(?:public|private|protected)?\s*([\w:]+)"),
-}
-_KEYWORDS = frozenset("if for while switch return catch match fn func function sizeof new class struct def else do case throw assert".split())
-
-
 def other_code(language: str) -> Parser:
-    _, declared, imported, inherited = LANGUAGES[language]
+    """Of languages with braces, by their tokens: see ``lexers``."""
 
     def parse(name: str, data: bytes) -> Parsed:
-        text, out = decoded(data), Parsed(language=language)
-        found = list(re.finditer(declared, text))
-        starts = [m.start() for m in found]
-        parts = [(m[2], text[m.start() : e].strip("\n")) for m, e in zip(found, [*starts[1:], len(text)], strict=True)]
-        out.chunks = _code_chunks(name, parts or [("", text)])
-        for m, e in zip(found, [*starts[1:], len(text)], strict=True):
-            kind = {"function": "fn", "function*": "fn", "func": "fn", "fn": "fn"}.get(m[1], m[1] if m[1] in ("struct", "enum", "trait", "mod", "type", "class", "interface", "record", "union", "namespace") else "fn")
-            out.symbols.append((m[2], kind, text.count("\n", 0, m.start(2)) + 1, text.count("\n", 0, len(text[:e].rstrip())) + 1))
-        names = {s[0] for s in out.symbols}
-        calls = {c for c in re.findall(r"\b(\w+)\s*\(", text) if c not in _KEYWORDS}
-        at = {m.start(2) for m in found}
-        called = {m[1] for m in re.finditer(r"\b(\w+)\s*\(", text) if m.start(1) not in at}
-        out.edges = sorted({("defines", n) for n in names} | {("imports", i) for i in re.findall(imported, text) if i} | {("extends", b) for b in re.findall(inherited, text) if b} | {("calls", c) for c in calls & called})
-        return out
+        text = decoded(data)
+        code = lexers.read(text, language)
+        parts = [(head, text[a:b]) for head, a, b in code.parts]
+        return Parsed(_code_chunks(name, parts or [("", text)]), sorted(code.edges), code.symbols, language)
 
     return parse
 
@@ -310,7 +287,7 @@ def unpacked(name: str, data: bytes) -> tuple[str, bytes]:
 #: How well each ending is read: its parser, or the names alone of what is in it.
 BUILT_IN: dict[str, Parser] = {
     **dict.fromkeys("txt log conf ini cfg yaml yml json toml xml css rst".split(), plain), **dict.fromkeys(("md", "markdown"), markdown), **dict.fromkeys(("html", "htm", "xhtml"), web_page), "py": python_code,
-    **{e: other_code(lang) for lang, row in LANGUAGES.items() for e in row[0]}, "csv": table_text, "tsv": table_text, "xlsx": spreadsheet, "docx": zipped_xml(r"word/document\.xml", "}p", "}t"), "odt": zipped_xml(r"content\.xml", "}p", "}p"),
+    **{e: other_code(lang) for lang, es in lexers.ENDINGS.items() for e in es.split()}, "csv": table_text, "tsv": table_text, "xlsx": spreadsheet, "docx": zipped_xml(r"word/document\.xml", "}p", "}t"), "odt": zipped_xml(r"content\.xml", "}p", "}p"),
     "pptx": zipped_xml(r"ppt/slides/slide\d+\.xml", "}p", "}t", "Slide"), "epub": book, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz", "jar"), archive),
 }
 
