@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import paths
 from tessella.operators import classify
 from tessella.plans.registry import query
-from tessella.sources import views
+from tessella.sources import ignores, views
 
 #: Names that parts are given in turn.
 _NAMES = ("Makefile", "a.PY.log", ".env.local", "key.pem", "x.tar.gz", "p.png", "Cargo.lock", "package.json", "noext", "n.ipynb", "t.unknown7", "README", "b.pdf")
@@ -58,3 +58,25 @@ SELECT cluster, NOT (bool_and(coalesce(regexp_extract(name, '^.+\\.([^.]+)$', 1)
 bool_and(name IN {list(classify.MANIFESTS)!r}) AS siblings, min(name) = max(name) AS same_name, min(dir) = max(dir) AS same_parent FROM m GROUP BY cluster""")
 def _(spark, sf):
     return classify.actionable(_parts(spark, sf).select(F.floor(F.col("id") / 3).alias("cluster"), "path"))
+
+
+#: Ignore files over the corpus: nested ones of each kind, with negation, and the lines of each.
+_IGNORES = {
+    "/corpus/.gitignore": "# all of two languages\n**/de/\nfr\n!fr\n*7.txt\n/src2/en/doc[0-4]*.txt\nbroken[\n",
+    "/corpus/src1/.gitignore": "!doc*7.txt\nen/doc?.txt\n",
+    "/corpus/src1/.ignore": "*1.txt\n!en/doc11.txt\n",
+    "/corpus/src3/.ignore": "*\n!*/\n!*5.txt\n",
+    "/corpus/src3/.tessellaignore": "!doc*9.txt\n",
+    "/corpus/src4/en/.tessellaignore": "*\n",
+}
+
+
+@query("src01_kept", f"""WITH {views.FILES}, p AS (SELECT path, split_part(path, '/', 3) AS s, split_part(path, '/', 4) AS l, split_part(path, '/', 5) AS n FROM files),
+git AS (SELECT *, CASE WHEN s = 'src1' AND l = 'en' AND regexp_full_match(n, 'doc.[.]txt') THEN true WHEN s = 'src1' AND ends_with(n, '7.txt') THEN false
+  WHEN s = 'src2' AND l = 'en' AND regexp_full_match(n, 'doc[0-4].*[.]txt') THEN true WHEN ends_with(n, '7.txt') THEN true END AS g,
+  CASE WHEN s = 'src1' THEN CASE WHEN l = 'en' AND n = 'doc11.txt' THEN false WHEN ends_with(n, '1.txt') THEN true END WHEN s = 'src3' THEN NOT ends_with(n, '5.txt') END AS i,
+  CASE WHEN s = 'src3' AND ends_with(n, '9.txt') THEN false WHEN s = 'src4' AND l = 'en' THEN true END AS o FROM p)
+SELECT path FROM git WHERE l <> 'de' AND NOT coalesce(o, i, g, false)""")
+def _(spark, sf):
+    told = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in _IGNORES.items()], "path string, content binary")
+    return ignores.kept(views.files(spark, sf).select("path"), ignores.rules(told))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
+from tessella.sources import ignores
 from tessella.sources.parsers import Registry
 
 MOST_BYTES = 8 << 20
+#: A longer ignore file is no ignore file.
+MOST_IGNORE_BYTES = 1 << 20
 #: Directories and files that are never read.
 SKIPPED = (".git", ".hg", ".svn", "node_modules", "target", "__pycache__", ".venv", "venv", "dist", "build", ".cache", ".idea", ".vscode", "vendor")
 SENSITIVE = (".ssh", ".gnupg", ".aws", ".kube")
@@ -28,11 +32,44 @@ def admitted(path: Column, length: Column, ignored: tuple[str, ...] = (), most:
     return out
 
 
-def files(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content, size, modified_s) of a tree. What isn't admitted isn't opened."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def files(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), rules: tuple[str, ...] = (), respect: bool = True) -> DataFrame:
+    """(path, content, size, modified_s) of a tree. What isn't admitted isn't opened, nor, with ``respect``, what the tree's ignore
+    files or the given ``rules`` (their lines, for the root) ignore. ignored: regular expressions over whole paths."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     path = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    return df.where(admitted(F.col("path"), F.col("length"), ignored)).select(path.alias("path"), "content", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified_s"))
+    df = read.load(root).where(admitted(F.col("path"), F.col("length"), ignored))
+    found = df.select(path.alias("path"), "content", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified_s"))
+    if not respect and not rules:
+        return found
+    clean = re.sub("^[a-z0-9]+:/+", "/", root)
+    told = _ignore_files(spark, root, found) if respect else []
+    told = spark.createDataFrame(told, "path string, content binary").where(admitted(F.col("path"), F.lit(0)))
+    lines = ignores.rules(told, rules, clean)
+    # Names alone are judged; of what stays the content is read.
+    listed = ignores.kept(found.select("path"), lines)
+    return found.join(listed, "path", "left_semi")
+
+
+def _ignore_files(spark: SparkSession, root: str, found: DataFrame) -> list[tuple[str, bytearray]]:
+    """(path, content) of a tree's ignore files. Spark's own listing leaves out names that begin with a dot, so the store is asked
+    for these names alone, level by level."""
+    base = root.rstrip("/")
+    deepest = found.agg(F.max(paths.depth("path"))).first()[0]
+    jvm, top = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    levels = max(0, (deepest or 0) - re.sub("^[a-z0-9]+:/+", "/", base).count("/"))
+    out = []
+    for level in range(levels):
+        pattern = f"{base}{'/*' * level}/{{{','.join(ignores.KINDS)}}}"
+        for status in store.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
+            if status.isFile() and status.getLen() <= MOST_IGNORE_BYTES:
+                stream = store.open(status.getPath())
+                try:
+                    data = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                finally:
+                    stream.close()
+                out.append((re.sub("^[a-z0-9]+:/+", "/", status.getPath().toString()), data))
+    return out
 
 
 def entries(found: DataFrame, now: int, generation: int = 1) -> DataFrame:

@@ -28,8 +28,8 @@ def test_code():
     assert ("run", "fn", 6, 7) in got.symbols and got.language == "python"
     rust = parsers.Registry().parse("/p/a.rs", b"use crate::util::helper;\n\npub struct S {\n    a: u8,\n}\n\npub fn run() {\n    helper(1);\n}\n")
     assert {("defines", "S"), ("defines", "run"), ("imports", "crate::util::helper"), ("calls", "helper")} <= set(rust.edges)
-    ts = parsers.Registry().parse("/p/a.ts", b'import { x } from "./b";\nexport class K extends L {}\nexport function go() { x(); }\n')
-    assert {("defines", "K"), ("defines", "go"), ("imports", "./b"), ("extends", "L"), ("calls", "x")} <= set(ts.edges)
+    ts = parsers.Registry().parse("/p/a.ts", b'import { xs } from "./b";\nexport class K extends L {}\nexport function go() { xs(); }\n')
+    assert {("defines", "K"), ("defines", "go"), ("imports", "./b"), ("extends", "L"), ("calls", "xs")} <= set(ts.edges)
     assert parsers.Registry().parse("/p/bad.py", b"def (").chunks == [("", "def (")]
 
 
