@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 from tessella.operators.chunking import markdown_sections, word_windows
-from tessella.sources import lexers
+from tessella.sources import lexers, pdf
 
 #: Caps against archives that unpack to more than fits: bytes of one entry, of all, and entries that are listed.
 ENTRY_BYTES, TOTAL_BYTES, LISTED = 16 << 20, 64 << 20, 5000
@@ -99,6 +99,15 @@ def web_page(name: str, data: bytes) -> Parsed:
     return markdown(name, html_to_markdown(decoded(data)).encode())
 
 
+def pdf_pages(name: str, data: bytes) -> Parsed:
+    """By headings where there are two parts or more, else as one text with the file's name; a file without text says so."""
+    shown, base = pdf.text(data), name.rsplit("/", 1)[-1]
+    if not shown.strip():
+        return Parsed([("", f"PDF: {base} (no extractable text — may be scanned)")])
+    parts = pdf.sections(shown)
+    return Parsed([(h, c) for h, t in (parts if len(parts) >= 2 else [("", f"File: {base}\n{shown}")]) for c in word_windows(t) if c.strip()])
+
+
 def _code_chunks(name: str, parts: list[tuple[str, str]]) -> list[tuple[str, str]]:
     out = []
     for head, text in parts:
@@ -288,7 +297,7 @@ def unpacked(name: str, data: bytes) -> tuple[str, bytes]:
 BUILT_IN: dict[str, Parser] = {
     **dict.fromkeys("txt log conf ini cfg yaml yml json toml xml css rst".split(), plain), **dict.fromkeys(("md", "markdown"), markdown), **dict.fromkeys(("html", "htm", "xhtml"), web_page), "py": python_code,
     **{e: other_code(lang) for lang, es in lexers.ENDINGS.items() for e in es.split()}, "csv": table_text, "tsv": table_text, "xlsx": spreadsheet, "docx": zipped_xml(r"word/document\.xml", "}p", "}t"), "odt": zipped_xml(r"content\.xml", "}p", "}p"),
-    "pptx": zipped_xml(r"ppt/slides/slide\d+\.xml", "}p", "}t", "Slide"), "epub": book, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz", "jar"), archive),
+    "pptx": zipped_xml(r"ppt/slides/slide\d+\.xml", "}p", "}t", "Slide"), "epub": book, "pdf": pdf_pages, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz", "jar"), archive),
 }
 
 
