@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
 from tessella.operators import insights, state, tree
 from tessella.plans.registry import query
-from tessella.sources import views
+from tessella.sources import store, views
 from tessella.sources.views import DIRECTORIES, FILES, NOW
 from tessella.streaming import changes
 
@@ -248,3 +251,26 @@ def _(spark, sf):
 def _(spark, sf):
     u = views.usage(spark, sf)
     return insights.kept_usage(u, u.agg(F.max("at")).first()[0]).select("id")
+
+
+#: What is removed: a directory, and single files.
+_GONE = """gone AS (SELECT '/corpus/src1' AS p UNION ALL SELECT path FROM files WHERE doc_id % 41 = 0),
+pairs AS (SELECT path AS path_a, lead(path) OVER (ORDER BY doc_id) AS path_b FROM files),
+rows AS (SELECT 'entries' AS tbl, path AS a, NULL AS b FROM files UNION ALL SELECT 'entries', path, NULL FROM directories UNION ALL SELECT 'summaries', path, NULL FROM files WHERE doc_id % 2 = 0
+  UNION ALL SELECT 'chunks', path, NULL FROM files UNION ALL SELECT 'chunks', path, NULL FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT 'co_change', path_a, path_b FROM pairs WHERE path_b IS NOT NULL)"""
+
+
+@query("dml04_cascade", f"""WITH {FILES}, {DIRECTORIES}, {_GONE}, flagged AS (SELECT tbl, EXISTS (SELECT 1 FROM gone WHERE a = p OR starts_with(a, p || '/') OR b = p OR starts_with(b, p || '/')) AS hit FROM rows)
+SELECT tbl, count(*) FILTER (WHERE hit) AS n_gone, count(*) FILTER (WHERE NOT hit) AS n_left FROM flagged GROUP BY tbl""")
+def _(spark, sf):
+    f = views.files(spark, sf)
+    gone = f.where("doc_id % 41 = 0").select("path").unionByName(spark.createDataFrame([("/corpus/src1",)], "path string"))
+    nexts = f.select(F.col("path").alias("path_b"), (F.col("doc_id") - 1).alias("doc_id"))
+    tables = {
+        "entries": f.select("path").unionByName(views.directories(f).select("path")), "summaries": f.where("doc_id % 2 = 0").select("path"),
+        "chunks": f.select(F.col("path").alias("entry_path"), F.lit(0).alias("seq")).unionByName(f.where("doc_id % 3 = 0").select(F.col("path").alias("entry_path"), F.lit(1).alias("seq"))),
+        "co_change": f.select(F.col("path").alias("path_a"), "doc_id").join(nexts, "doc_id").select("path_a", "path_b"),
+    }
+    plan = store.cascade(gone)
+    sizes = [rows.agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), F.lit(0).cast("long").alias("n_gone"), "n").unionByName(plan[t](rows)[0].agg(F.count("*").alias("n_gone")).select(F.lit(t).alias("tbl"), "n_gone", (-F.col("n_gone")).alias("n"))) for t, rows in tables.items()]
+    return reduce(DataFrame.unionByName, sizes).groupBy("tbl").agg(F.sum("n_gone").alias("n_gone"), F.sum("n").alias("n_left"))
