@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.vectors import cosine
 from tessella.sources.shared import cut, stored
 
 #: Rows of a part: two parts at most are compared at once, so memory is bounded at every size.
 TILE = 1024
 
+#: Members of a crowded bucket that all others are compared with.
+HUBS = 4
+
 _PAIR = "a string, b string, similarity double"
 
 
@@ -52,6 +60,54 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def bands_for(least: float, rows: int, missed: float = 0.05) -> tuple[int, int]:
+    """(bits of a band, bands): so many bits that a band's bucket holds some dozens of unlike vectors, and so many bands that two
+    vectors just at the cosine share no bucket with no more than the given chance."""
+    bits = min(max(math.ceil(math.log2(max(rows, 1) / 32 + 1)), 4), 24)
+    same = (1 - math.acos(min(max(least, -1.0), 1.0)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(missed) / math.log1p(-min(same, 1 - 1e-9))))
+
+
+def banded_pairs(vectors: DataFrame, least: float, missed: float = 0.05, most: int = 200, seed: int = 7) -> DataFrame:
+    """(a, b, similarity) with a < b by path, of candidates that share a band of signs of random projections: a part of what
+    ``similar_pairs`` finds, at work that grows with the vectors and not with their square.
+
+    Equal vectors count as one, at their first path. A bucket of more than ``most`` members is dealt to parts by a hash; within a part all
+    are compared, and all of the bucket with a few of its members, so a crowd stays connected though not all its pairs are made.
+    Vectors of another dimension than the most frequent one are left out; null and zero vectors are near nothing.
+    """
+    one = stored(vectors.where("embedding IS NOT NULL AND exists(embedding, x -> x <> 0)").groupBy(F.col("embedding").alias("v")).agg(F.min("path").alias("path")))
+    size = one.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if not size:
+        return vectors.sparkSession.createDataFrame([], _PAIR)
+    one = one.where(F.size("v") == size["d"])
+    dimension, (bits, bands) = size["d"], bands_for(least, size["count"], missed)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(seed).standard_normal((dimension, bits * bands))
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                some = b.slice(i, 2048)
+                x = np.stack(some.column(0).to_numpy(zero_copy_only=False)).astype(float)
+                keys = ((x @ planes) >= 0).reshape(len(x), bands, bits) @ powers
+                path = some.column(1).take(pa.array(np.repeat(np.arange(len(x)), bands)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(x))), pa.array(keys.reshape(-1)), path], names=["band", "key", "path"])
+
+    rows = one.select("v", "path").mapInArrow(sign, "band int, key long, path string")
+    hubs = F.array(*[F.min_by("path", F.struct(F.xxhash64("path", F.lit(i)), "path")) for i in range(HUBS)])
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), hubs.alias("hubs")).where("n > 1")
+    shared = stored(rows.join(sizes, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / most)).cast("int")))
+    a, b = (shared.select("band", "key", "part", F.col("path").alias(c)) for c in ("a", "b"))
+    near = a.join(b, ["band", "key", "part"]).where("a < b").select("a", "b")
+    crowd = shared.where(F.col("n") > most).select("path", F.explode(F.array_distinct("hubs")).alias("hub")).where("path <> hub")
+    crowd = crowd.select(F.least("path", "hub").alias("a"), F.greatest("path", "hub").alias("b"))
+    met = near.unionByName(crowd).distinct()
+    sides = [one.select(F.col("path").alias(c), F.col("v").alias(f"v_{c}")) for c in ("a", "b")]
+    scored = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", cosine(F.col("v_a"), F.col("v_b")).alias("similarity"))
+    return scored.where(F.col("similarity") >= least)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(path, cluster): the smallest path that each is linked with, by passing labels on until none changes."""
     both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
