@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import ann, batch, retrieve, search
+from tessella.operators import ann, batch, overview, retrieve, search
 from tessella.operators import index as inverted
 from tessella.plans.registry import query
 from tessella.plans.search_queries import _WEIGHTS, _weights
@@ -178,3 +180,32 @@ FROM asked a LEFT JOIN (SELECT question, count(*) AS n FROM top GROUP BY questio
 def _(spark, sf):
     got = batch.evaluate(_indexed(_tables(spark, sf)), *_golden(spark, sf), SETTINGS)
     return got.select("question", "k", "retrieved", "hit", "first_rank", *[F.round(c, 9).alias(c) for c in ("rr", "precision", "recall", "ndcg")])
+
+
+#: Directories with summaries: the corpus, every second source, and languages but one. Questions: by language, by source, and one over all.
+_SUMMED = f"""dirs AS (SELECT '/corpus' AS path, '/' AS parent_path, count(*) AS n FROM files UNION ALL SELECT '/corpus/' || split_part(path, '/', 3), '/corpus', count(*) FROM files GROUP BY 1
+  UNION ALL SELECT parent_path, '/corpus/' || split_part(path, '/', 3), count(*) FROM files GROUP BY 1, 2),
+summed AS (SELECT *, ' ' || n || ' files – ' || path || ' ' AS summary, CASE WHEN n % 2 = 0 THEN 'é' || n END AS l0 FROM dirs WHERE path = '/corpus' OR (path LIKE '/corpus/%/%' AND path NOT LIKE '%/fr') OR (path NOT LIKE '/corpus/%/%' AND path LIKE '%0'))"""
+
+
+@query("ret26_overview", f"""WITH {FILES}, {_SUMMED}, hits AS (SELECT 'l:' || parent_path AS question, path, doc_id FROM files UNION ALL SELECT 's:' || split_part(path, '/', 3), path, doc_id FROM files UNION ALL SELECT 'all', path, doc_id FROM files),
+top AS (SELECT question, path FROM hits QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id) <= 5),
+common AS (SELECT question, CASE WHEN count(DISTINCT path) = 1 THEN min(path) WHEN count(DISTINCT split_part(path, '/', 3)) > 1 THEN '/corpus' WHEN count(DISTINCT split_part(path, '/', 4)) > 1 THEN '/corpus/' || min(split_part(path, '/', 3)) ELSE '/corpus/' || min(split_part(path, '/', 3)) || '/' || min(split_part(path, '/', 4)) END AS at FROM top GROUP BY question),
+root AS (SELECT question, max_by(s.path, length(s.path)) AS root, max_by(s.summary, length(s.path)) AS summary FROM common c JOIN summed s ON c.at = s.path OR starts_with(c.at, s.path || '/') GROUP BY question),
+heads AS (SELECT question, root, 'PROJECT OVERVIEW (directory roll-up summaries — background context; cite numbered excerpts below for specific claims):' || chr(10) || regexp_extract(root, '[^/]*$') || ': ' || trim(summary) || chr(10) AS head FROM root),
+parts AS (SELECT parent_path, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS n, '  - ' || regexp_extract(path, '[^/]*$') || ': ' || trim(coalesce(l0, summary)) || chr(10) AS line FROM summed),
+fits AS (SELECT question, n, line, strlen(head) + sum(strlen(line)) OVER (PARTITION BY question ORDER BY n) AS after FROM heads JOIN parts ON parent_path = root WHERE n <= 6)
+SELECT question, root, head || coalesce((SELECT string_agg(line, '' ORDER BY n) FROM fits f WHERE f.question = h.question AND after <= 200), '') AS overview FROM heads h""")
+def _(spark, sf):
+    f = views.files(spark, sf)
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    source = F.concat(F.lit("/corpus/"), part(3))
+    ups = [(F.lit("/corpus"), F.lit("/")), (source, F.lit("/corpus")), (F.col("parent_path"), source)]
+    dirs = reduce(DataFrame.unionByName, [f.groupBy(a.alias("path"), b.alias("parent_path")).agg(F.count("*").alias("n")) for a, b in ups])
+    deep = F.col("path").like("/corpus/%/%")
+    dirs = dirs.where((F.col("path") == "/corpus") | (deep & ~F.col("path").like("%/fr")) | (~deep & F.col("path").like("%0")))
+    text_ = F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" files – "), "path", F.lit(" "))
+    summed = dirs.select("path", "parent_path", F.lit("dir").alias("kind"), text_.alias("summary"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("é"), F.col("n").cast("string"))).alias("summary_l0"))
+    asked = [F.concat(F.lit("l:"), "parent_path"), F.concat(F.lit("s:"), part(3)), F.lit("all")]
+    hits = reduce(DataFrame.unionByName, [f.select(q.alias("question"), F.col("path").alias("entry_path"), F.col("doc_id").alias("place")) for q in asked])
+    return overview.overviews(overview.common_ancestors(hits), summed, budget=200)
