@@ -25,8 +25,9 @@ from xml.etree import ElementTree
 from tessella.operators.chunking import markdown_sections, word_windows
 from tessella.sources import lexers, pdf
 
-#: Caps against archives that unpack to more than fits: bytes of one entry, of all, and entries that are listed.
-ENTRY_BYTES, TOTAL_BYTES, LISTED = 16 << 20, 64 << 20, 5000
+#: Bytes that a file may unpack to, against archives made to fill memory: a larger one is not read, and says so. Names of an
+#: archive that are listed.
+UNPACKED, LISTED = 256 << 20, 5000
 CODE_LEAST, CODE_MOST = 20, 2000
 
 
@@ -166,9 +167,20 @@ def other_code(language: str) -> Parser:
     return parse
 
 
+class TooLarge(Exception):
+    """A file unpacks to more than UNPACKED bytes."""
+
+
+def _read(f: io.IOBase, most: int) -> bytes:
+    data = f.read(most + 1)
+    if len(data) > most:
+        raise TooLarge
+    return data
+
+
 def _zip_text(z: zipfile.ZipFile, entry: str, left: list[int]) -> str:
     with z.open(entry) as f:
-        data = f.read(min(ENTRY_BYTES, left[0]))
+        data = _read(f, left[0])
     left[0] -= len(data)
     return data.decode("utf-8", "replace")
 
@@ -182,7 +194,7 @@ def zipped_xml(pattern: str, paragraph: str, run: str, head: str = "") -> Parser
     """Documents and slides that are archives of XML: the text of their parts, one section each, in order of number."""
 
     def parse(name: str, data: bytes) -> Parsed:
-        out, left = Parsed(), [TOTAL_BYTES]
+        out, left = Parsed(), [UNPACKED]
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             parts = [(int("".join(re.findall(r"\d+", n)) or 0), n) for n in z.namelist() if re.fullmatch(pattern, n)]
             for k, (_, entry) in enumerate(sorted(parts), 1):
@@ -199,7 +211,7 @@ def table_text(name: str, data: bytes) -> Parsed:
 
 
 def spreadsheet(name: str, data: bytes) -> Parsed:
-    out, left = Parsed(), [TOTAL_BYTES]
+    out, left = Parsed(), [UNPACKED]
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -219,7 +231,7 @@ def spreadsheet(name: str, data: bytes) -> Parsed:
 
 def book(name: str, data: bytes) -> Parsed:
     """An EPUB in the order of its spine."""
-    out, left = Parsed(), [TOTAL_BYTES]
+    out, left = Parsed(), [UNPACKED]
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(_zip_text(z, "META-INF/container.xml", left))
         opf = next(e.get("full-path") for e in root.iter() if e.tag.endswith("rootfile"))
@@ -285,11 +297,11 @@ _OPENERS = {".gz": gzip.open, ".xz": lzma.open, ".bz2": bz2.open}
 
 
 def unpacked(name: str, data: bytes) -> tuple[str, bytes]:
-    """The name and content of a compressed file, up to the cap."""
+    """The name and content of a compressed file, whole."""
     for ending, opener in _OPENERS.items():
         if name.lower().endswith(ending) and not name.lower().endswith(".tar" + ending):
             with opener(io.BytesIO(data)) as f:
-                return name[: -len(ending)], f.read(ENTRY_BYTES)
+                return name[: -len(ending)], _read(f, UNPACKED)
     return name, data
 
 
@@ -312,16 +324,19 @@ class Registry:
 
     def parse(self, name: str, data: bytes) -> Parsed | None:
         """What the first parser that accepts a name makes of the content; nothing for unknown binary files. A parser that
-        fails leaves the text as it is."""
-        name, data = unpacked(name, data)
-        ending = name.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-        parser = next((p for accepts, p in self.own if accepts(name)), BUILT_IN.get(ending))
-        if parser is None:
-            return None if is_binary(data) else plain(name, data)
+        fails leaves the text as it is, if it is text; of what unpacks to too much there is a line that says so."""
         try:
-            return parser(name, data)
+            name, data = unpacked(name, data)
+            ending = name.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+            parser = next((p for accepts, p in self.own if accepts(name)), BUILT_IN.get(ending))
+            if parser is not None:
+                return parser(name, data)
+        except TooLarge:
+            return Parsed([("", f"File: {name.rsplit('/', 1)[-1]} (unpacks to more than {UNPACKED} bytes, not read)")])
         except Exception:
-            return None if is_binary(data) else plain(name, data)
+            # Its text, below.
+            pass
+        return None if is_binary(data) or data[:4] == b"PK\x03\x04" else plain(name, data)
 
 
 def formats() -> list[tuple[str, str]]:

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import lzma
 import zipfile
 
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def test_formats():
     assert ("py", "full") in parsers.formats() and ("zip", "names") in parsers.formats()
 
 
+def test_content_is_whole_or_not_read(monkeypatch):
+    r, words = parsers.Registry(), " ".join(f"w{i}" for i in range(9000))
+    body = zipped({"word/document.xml": f'<w:d xmlns:w="w"><w:p><w:t>{words}</w:t></w:p></w:d>'})
+    whole = r.parse("a.docx", body).chunks
+    assert whole[0][1].startswith("w0 ") and whole[-1][1].endswith(" w8999")
+    assert r.parse("a.txt.xz", lzma.compress(words.encode())).chunks[-1][1].endswith(" w8999")
+    monkeypatch.setattr(parsers, "UNPACKED", 20_000)
+    for name, data in {"d/a.docx": body, "d/a.docx.gz": gzip.compress(b"x" * 20_001)}.items():
+        assert r.parse(name, data).chunks == [("", f"File: {name[2:]} (unpacks to more than 20000 bytes, not read)")]
+    # Broken ones aren't taken for text.
+    assert r.parse("a.docx", body[:200]) is None and r.parse("a.gz", b"\x1f\x8b\0\0") is None
+
+
 def test_tree_of_files(spark, tmp_path):
     for name, data in {"src/a.py": PY, "src/b.md": b"# T\ntext", "node_modules/x.js": b"1", ".env": b"SECRET=1", "big.pem": b"x", "data.bin": b"\0" * 9}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
