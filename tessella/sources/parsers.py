@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 from tessella.operators.chunking import markdown_sections, word_windows
-from tessella.sources import lexers, pdf
+from tessella.sources import binaries, lexers, pdf
 
 #: Bytes that a file may unpack to, against archives made to fill memory: a larger one is not read, and says so. Names of an
 #: archive that are listed.
@@ -293,6 +293,19 @@ def archive(name: str, data: bytes) -> Parsed:
     return Parsed([("", c) for c in word_windows(f"Archive: {name}\n" + "\n".join(names))])
 
 
+def compiled(name: str, data: bytes) -> Parsed:
+    """The names that a compiled file declares."""
+    shown, found = name.rsplit("/", 1)[-1], binaries.symbols(name, data)
+    text = f"Binary {shown} — {len(found)} symbols:\n" + "\n".join(found) if found else f"Binary: {shown} (no readable symbols — may be stripped)"
+    return Parsed([("symbols", c) for c in word_windows(text)])
+
+
+def picture(name: str, data: bytes) -> Parsed:
+    """A picture's name and the tags that its camera wrote."""
+    lines = [f"File: {name.rsplit('/', 1)[-1]}", ", ".join(binaries.tags(data))]
+    return Parsed([("", "\n".join(x for x in lines if x))])
+
+
 _OPENERS = {".gz": gzip.open, ".xz": lzma.open, ".bz2": bz2.open}
 
 
@@ -309,7 +322,8 @@ def unpacked(name: str, data: bytes) -> tuple[str, bytes]:
 BUILT_IN: dict[str, Parser] = {
     **dict.fromkeys("txt log conf ini cfg yaml yml json toml xml css rst".split(), plain), **dict.fromkeys(("md", "markdown"), markdown), **dict.fromkeys(("html", "htm", "xhtml"), web_page), "py": python_code,
     **{e: other_code(lang) for lang, es in lexers.ENDINGS.items() for e in es.split()}, "csv": table_text, "tsv": table_text, "xlsx": spreadsheet, "docx": zipped_xml(r"word/document\.xml", "}p", "}t"), "odt": zipped_xml(r"content\.xml", "}p", "}p"),
-    "pptx": zipped_xml(r"ppt/slides/slide\d+\.xml", "}p", "}t", "Slide"), "epub": book, "pdf": pdf_pages, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz", "jar"), archive),
+    "pptx": zipped_xml(r"ppt/slides/slide\d+\.xml", "}p", "}t", "Slide"), "epub": book, "pdf": pdf_pages, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz"), archive),
+    **dict.fromkeys("so dylib exe wasm jar o".split(), compiled), **dict.fromkeys("jpg jpeg png gif webp heic heif tiff tif bmp cr2 nef arw dng".split(), picture),
 }
 
 
@@ -341,4 +355,4 @@ class Registry:
 
 def formats() -> list[tuple[str, str]]:
     """(ending, how well it is read)."""
-    return sorted((e, "names" if p is archive else "full") for e, p in BUILT_IN.items())
+    return sorted((e, "names" if p in (archive, compiled, picture) else "full") for e, p in BUILT_IN.items())
