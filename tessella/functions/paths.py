@@ -71,3 +71,18 @@ def lexically_joined(base: str, relative: str) -> str:
         elif part not in (".", "") or (part == "" and not out):
             out.append(part)
     return "/".join(out)
+
+
+def joined(base: Column, relative: Column) -> Column:
+    """lexically_joined as a column."""
+
+    def step(out: Column, part: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        back = (part == "..") & (F.size(out) > 0)
+        return (
+            F.when(back & ~last.isin("", ".."), F.slice(out, F.lit(1), F.size(out) - 1)).when(back & (last == "") & (F.size(out) == 1), out)
+            .when(~part.isin(".", "") | ((part == "") & (F.size(out) == 0)), F.concat(out, F.array(part))).otherwise(out)
+        )
+
+    parts = F.split(F.concat(base, F.lit("/"), relative), "/")
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")

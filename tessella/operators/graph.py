@@ -7,11 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from tessella.functions import paths
+from tessella.functions import paths, predicates
 from tessella.sources.shared import cut
 
 COMMON = 25
@@ -22,6 +21,9 @@ JS_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
 NOISE = ("/vendor/", "/node_modules/", "/target/", "/dist/", "/assets/vendor/", "/.next/", "/build/", ".xcodeproj", "/DerivedData/", "/Pods/", ".min.js", ".bundle.js")
 
 
+_CANDIDATES = "array<struct<how: string, what: string>>"
+
+
 def outgoing(edges: DataFrame, path: str) -> DataFrame:
     return edges.where(F.col("from_path") == path).select("kind", "to_ref").distinct().orderBy("kind", "to_ref")
 
@@ -30,47 +32,40 @@ def incoming(edges: DataFrame, kind: str, ref: str) -> DataFrame:
     return edges.where((F.col("kind") == kind) & (F.col("to_ref") == ref)).select("from_path").distinct().orderBy("from_path")
 
 
-def import_candidates(caller: str, ref: str) -> list[tuple[str, str]]:
-    """What an import may mean: ('path', a whole path) or ('suffix', the last part of one)."""
-    here = caller.rsplit("/", 1)[0]
-    if ref.startswith("."):
-        if "/" in ref:
-            base = paths.lexically_joined(here, ref)
-            return [("path", base), *[("path", base + e) for e in JS_ENDINGS], *[("path", f"{base}/index{e}") for e in JS_ENDINGS]]
-        up = len(ref) - len(ref.lstrip("."))
-        base = paths.lexically_joined(here, "/".join([".."] * (up - 1) + ref[up:].split(".")))
-        return [("path", base + ".py"), ("path", base + "/__init__.py")]
-    if "::" in ref:
-        parts = [p for p in ref.replace("{", "").split("::") if p]
-        roots = {"crate": ["src"], "self": [], "super": []}
-        ups = sum(p == "super" for p in parts)
-        names = [p for p in parts if p not in roots]
-        out = []
-        for n in {len(names), len(names) - 1} - {0, -1}:
-            tail = "/".join(names[:n])
-            if parts[0] == "super":
-                # A file's own module stands one level below its directory, but for mod.rs.
-                rise = ups - (0 if caller.endswith("/mod.rs") else 1)
-                base = paths.lexically_joined(here, "/".join([".."] * rise + [tail]))
-                out += [("path", base + ".rs"), ("path", base + "/mod.rs")]
-            else:
-                out += [("suffix", f"/{tail}.rs"), ("suffix", f"/{tail}/mod.rs")]
-        return out
-    if "." in ref or ref.isidentifier():
-        tail = ref.replace(".", "/")
-        one = "." not in ref
-        return [("suffix", f"/{tail}/__init__.py"), *([] if one else [("suffix", f"/{tail}.py")])]
-    return []
-
-
-_CANDIDATE = ArrayType(StructType([StructField("how", StringType()), StructField("what", StringType())]))
+def import_candidates(caller: Column, ref: Column) -> Column:
+    """What imports may mean, as an array of (how, what): 'path' with a whole path, 'suffix' with the last part of one. None for null."""
+    here, none = F.regexp_replace(caller, "/[^/]*$", ""), F.array().cast(_CANDIDATES)
+    joined = lambda relative: paths.joined(here, relative)
+    told = lambda how, whats: F.transform(whats, lambda w: F.struct(F.lit(how).alias("how"), w.alias("what")))
+    ended = lambda base, ends: F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat(base, e))
+    # ./a, ../a: a file, whatever its ending, or the directory's index.
+    script = told("path", ended(joined(ref), ("", *JS_ENDINGS, *(f"/index{e}" for e in JS_ENDINGS))))
+    # .a, ..a.b: each dot but the first is a level up.
+    dots = F.length(F.regexp_extract(ref, r"^\.+", 0))
+    module = told("path", ended(joined(F.concat(F.repeat(F.lit("../"), dots - 1), F.translate(F.substr(ref, dots + 1), ".", "/"))), (".py", "/__init__.py")))
+    # crate::a::b, super::a: the last name may be a thing in the file of the one before it.
+    parts = F.filter(F.split(F.translate(ref, "{", ""), "::"), lambda p: p != "")
+    names = F.filter(parts, lambda p: ~p.isin("crate", "self", "super"))
+    heads = F.transform(F.filter(F.array(F.size(names), F.size(names) - 1), lambda n: n > 0), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
+    # A file's own module stands one level below its directory, but for mod.rs.
+    rise = F.size(F.filter(parts, lambda p: p == "super")) - F.when(F.endswith(caller, F.lit("/mod.rs")), 0).otherwise(1)
+    up = F.repeat(F.lit("../"), rise)
+    above = told("path", F.flatten(F.transform(heads, lambda h: ended(joined(F.concat(up, h)), (".rs", "/mod.rs")))))
+    inside = told("suffix", F.flatten(F.transform(heads, lambda h: ended(F.concat(F.lit("/"), h), (".rs", "/mod.rs")))))
+    # a, a.b: a package or a module anywhere.
+    tail = F.concat(F.lit("/"), F.translate(ref, ".", "/"))
+    dotted = F.contains(ref, F.lit("."))
+    package = told("suffix", F.when(dotted, F.array(F.concat(tail, F.lit("/__init__.py")), F.concat(tail, F.lit(".py")))).otherwise(F.array(F.concat(tail, F.lit("/__init__.py")))))
+    return (
+        F.when(F.startswith(ref, F.lit(".")), F.when(F.contains(ref, F.lit("/")), script).otherwise(module))
+        .when(F.contains(ref, F.lit("::")), F.when(F.get(parts, F.lit(0)) == "super", above).otherwise(inside))
+        .when(dotted | ref.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"), package).otherwise(none)
+    )
 
 
 def imported(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(from_path, target): files (path) that an import of a file may mean. Suffixes meet whole tails of paths, by equality."""
-
-    expand = F.udf(lambda caller, ref: import_candidates(caller, ref), _CANDIDATE)
-    found = edges.where("kind = 'imports'").select("from_path", F.explode(expand("from_path", "to_ref")).alias("c")).select("from_path", "c.how", "c.what").distinct()
+    found = edges.where("kind = 'imports'").select("from_path", F.explode(import_candidates(F.col("from_path"), F.col("to_ref"))).alias("c")).select("from_path", "c.how", "c.what").distinct()
     parts = F.split("path", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, -n, n), "/")))
     by_tail = files.where(F.contains("path", F.lit("/"))).select("path", F.explode(tails).alias("what"))
@@ -161,6 +156,58 @@ def reach(graph: DataFrame, start: DataFrame, depth: int, forward: bool = True)
     return seen.where("hop > 0")
 
 
+def callers_of(edges: DataFrame, symbol: str, imports: DataFrame | None = None, limit: int = 25) -> DataFrame:
+    """(path, tier) of the first callers of a symbol by path: how the call of each finds a definition."""
+    calls = edges.where((F.col("kind") == "calls") & (F.col("to_ref") == symbol)).select(F.col("from_path").alias("path")).distinct().orderBy("path").limit(limit)
+    # At most ``limit`` callers, whatever the number of definers.
+    calls = F.broadcast(calls)
+    at = edges.where((F.col("kind") == "defines") & (F.col("to_ref") == symbol)).select(F.col("from_path").alias("target")).distinct()
+    own = at.join(calls, F.col("target") == F.col("path")).select("path", F.lit(1).alias("t"))
+    beside = at.select(paths.parent("target").alias("up")).distinct().join(calls.withColumn("up", paths.parent("path")), "up").select("path", F.lit(3).alias("t"))
+    rows = calls.withColumn("t", F.lit(4)).unionByName(own).unionByName(beside)
+    if imports is not None:
+        known = imports.join(calls, F.col("from_path") == F.col("path"), "left_semi").join(at, "target", "left_semi")
+        rows = rows.unionByName(known.select(F.col("from_path").alias("path"), F.lit(2).alias("t")))
+    tier = F.element_at(F.array(*map(F.lit, ("same_file", "import", "same_dir", "bare"))), F.min("t"))
+    return rows.groupBy("path").agg(tier.alias("tier"))
+
+
+def symbol_context(edges: DataFrame, symbols: DataFrame, notes: DataFrame, symbol: str, imports: DataFrame | None = None, limit: int = 25, most: int = 20) -> DataFrame:
+    """(section, item, detail, first, last) of all that is known about a symbol: 'defined' (a file; what it is and its lines),
+    'called' (a file, the tier), 'extended' and 'implemented' (a file), 'imports' and 'calls' (the first names that the defining files
+    use), 'note' (a note's path, its title). edges may be narrowed by answers first. Empty where nothing defines the symbol."""
+    none = F.lit(None)
+    row = lambda df, section, item, detail=none, first=none, last=none: df.select(
+        F.lit(section).alias("section"), F.col(item).alias("item"), detail.cast("string").alias("detail"), first.cast("long").alias("first"), last.cast("long").alias("last")
+    )
+    at = edges.where((F.col("kind") == "defines") & (F.col("to_ref") == symbol)).select(F.col("from_path").alias("path")).distinct()
+    # Of several symbols of the name in one file the first by its lines.
+    spans = symbols.where(F.col("name") == symbol).groupBy("path").agg(F.min(F.struct("start_line", "end_line", "kind")).alias("s"))
+    out = row(at.join(spans, "path", "left").select("path", "s.*"), "defined", "path", F.col("kind"), F.col("start_line"), F.col("end_line"))
+    out = out.unionByName(row(callers_of(edges, symbol, imports, limit), "called", "path", F.col("tier")))
+    for section, kind in (("extended", "extends"), ("implemented", "implements")):
+        out = out.unionByName(row(incoming(edges, kind, symbol), section, "from_path"))
+    used = edges.where("kind IN ('imports', 'calls')").join(at.withColumnRenamed("path", "from_path"), "from_path", "left_semi").select("kind", "to_ref").distinct()
+    for kind in ("imports", "calls"):
+        out = out.unionByName(row(used.where(F.col("kind") == kind).orderBy("to_ref").limit(most), kind, "to_ref"))
+    out = out.unionByName(row(notes.where(F.col("anchor") == symbol), "note", "note_path", F.col("title")))
+    return out.join(F.broadcast(at.limit(1).select(F.lit(True).alias("__some"))), F.lit(True), "left_semi")
+
+
+def api_surface(edges: DataFrame, most: int = 12) -> DataFrame:
+    """(path, surface): the first names that files define by name, joined by commas, idioms left out. Files with none have no row."""
+    names = edges.where("kind = 'defines' AND to_ref IS NOT NULL").where(~predicates.idiom(F.col("to_ref"))).select(F.col("from_path").alias("path"), "to_ref").distinct()
+    few = names.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("to_ref"))).where(F.col("n") <= most)
+    return few.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("to_ref")), ", ").alias("surface"))
+
+
+def modules_in(modules: DataFrame, scope: str = "") -> DataFrame:
+    """Modules (module_id, member_path, ...) with a member in a scope, whole, with their number of members. Of an empty scope: all."""
+    some = modules.where(paths.under("member_path", scope)).select("module_id").distinct()
+    rows = modules.join(some, "module_id", "left_semi")
+    return rows.join(rows.groupBy("module_id").agg(F.count("*").alias("members")), "module_id")
+
+
 def blast_radius(edges: DataFrame, calls: DataFrame, symbol: str, depth: int = 2, strict: bool = False, heritage: bool = False) -> DataFrame:
     """(path, hop): direct callers of a symbol, then files whose calls resolve into those, and so on."""
     kinds = ["calls", *(["extends", "implements"] if heritage else [])]

@@ -136,6 +136,12 @@ def in_pack(rows: DataFrame, members: DataFrame, column: str = "entry_path") ->
     return rows.join(up.select(column).distinct(), column, "left_semi")
 
 
+def suggested_members(hits: DataFrame, members: DataFrame, limit: int = 20) -> DataFrame:
+    """(path, rank) for a pack: the files of hits (entry_path, rank) by their best one, without those that it has."""
+    best = hits.where("entry_path IS NOT NULL").groupBy(F.col("entry_path").alias("path")).agg(F.min("rank").alias("rank"))
+    return best.join(members.select("path"), "path", "left_anti").orderBy("rank", "path").limit(limit)
+
+
 def appended_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
     """New questions and answers of sessions, in their order (seq), after the turns that are there."""
     last = turns.groupBy("session_id").agg((F.max("turn_index") + 1).alias("next"))
