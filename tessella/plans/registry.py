@@ -27,7 +27,7 @@ def load() -> None:
     """Registers all queries."""
     from importlib import import_module
 
-    for name in ("insight_queries", "search_queries", "graph_queries", "state_queries", "more_queries", "retrieve_queries", "classify_queries", "review_queries", "code_queries", "record_queries"):
+    for name in ("insight_queries", "search_queries", "graph_queries", "state_queries", "more_queries", "retrieve_queries", "classify_queries", "review_queries", "code_queries", "record_queries", "report_queries"):
         import_module(f"tessella.plans.{name}")
 
 
