@@ -22,6 +22,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
+try:
+    import zstandard
+except ImportError:
+    zstandard = None
+
 from tessella.operators.chunking import markdown_sections, word_windows
 from tessella.sources import binaries, lexers, pdf
 
@@ -205,6 +210,44 @@ def zipped_xml(pattern: str, paragraph: str, run: str, head: str = "") -> Parser
     return parse
 
 
+def slides(name: str, data: bytes) -> Parsed:
+    """Slides in order of number, each with its speaker's notes: those that it refers to, or where no slide refers to any and there are as
+    many notes as slides, those of its place."""
+    out, left = Parsed(), [UNPACKED]
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        numbers = lambda stem: sorted(int(m[1]) for n in names if (m := re.fullmatch(rf"ppt/{stem}(\d+)\.xml", n)))
+        shown, notes, refers = numbers("slides/slide"), numbers("notesSlides/notesSlide"), {}
+        for n in shown:
+            if (entry := f"ppt/slides/_rels/slide{n}.xml.rels") in names and (m := re.search(r"notesSlide(\d+)\.xml", _zip_text(z, entry, left))):
+                refers[n] = int(m[1])
+        if not refers and len(notes) == len(shown):
+            refers = dict(zip(shown, notes, strict=True))
+        for k, n in enumerate(shown, 1):
+            text = _xml_text(_zip_text(z, f"ppt/slides/slide{n}.xml", left), "}p", "}t")
+            if refers.get(n) in notes and (said := _xml_text(_zip_text(z, f"ppt/notesSlides/notesSlide{refers[n]}.xml", left), "}p", "}t").strip()) and said != text.strip():
+                text += f"\n\nSpeaker notes: {said}"
+            out.chunks += [(f"Slide {k}", c) for c in word_windows(text)]
+    return out
+
+
+def open_spreadsheet(name: str, data: bytes) -> Parsed:
+    """The tables of an OpenDocument spreadsheet, row by row; rows and cells at a table's end that are empty, however often, are left out."""
+    out, left = Parsed(), [UNPACKED]
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(_zip_text(z, "content.xml", left))
+    for k, table in enumerate((t for t in root.iter() if t.tag.endswith("}table")), 1):
+        lines = []
+        for row in (r for r in table.iter() if r.tag.endswith("}table-row")):
+            cells = [" ".join("".join(p.itertext()) for p in c if p.tag.endswith("}p")) for c in row if c.tag.endswith("}table-cell")]
+            while cells and not cells[-1]:
+                cells.pop()
+            lines.append(" | ".join(cells))
+        title = next((v for a, v in table.attrib.items() if a.endswith("}name")), f"Sheet {k}")
+        out.chunks += [(title, c) for c in word_windows("\n".join(lines))]
+    return out
+
+
 def table_text(name: str, data: bytes) -> Parsed:
     rows = csv.reader(io.StringIO(decoded(data)), delimiter="\t" if name.lower().endswith(".tsv") else ",")
     return Parsed([("", c) for c in word_windows("\n".join(" | ".join(r) for r in rows))])
@@ -306,7 +349,23 @@ def picture(name: str, data: bytes) -> Parsed:
     return Parsed([("", "\n".join(x for x in lines if x))])
 
 
-_OPENERS = {".gz": gzip.open, ".xz": lzma.open, ".bz2": bz2.open}
+def _frames(f: io.BytesIO) -> io.IOBase:
+    """All frames of Zstandard data. The reader bounds what they unpack to but takes a cut frame for its end, so their ends are
+    looked for too."""
+    if zstandard is None:
+        raise ValueError("zstandard isn't installed")
+    rest = f.getvalue()
+    whole = _read(zstandard.ZstdDecompressor().stream_reader(rest, read_across_frames=True), UNPACKED)
+    while rest:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        frame.decompress(rest)
+        if not frame.eof:
+            raise ValueError("a frame is cut")
+        rest = frame.unused_data
+    return io.BytesIO(whole)
+
+
+_OPENERS = {".gz": gzip.open, ".xz": lzma.open, ".bz2": bz2.open, ".zst": _frames, ".zstd": _frames}
 
 
 def unpacked(name: str, data: bytes) -> tuple[str, bytes]:
@@ -321,8 +380,8 @@ def unpacked(name: str, data: bytes) -> tuple[str, bytes]:
 #: How well each ending is read: its parser, or the names alone of what is in it.
 BUILT_IN: dict[str, Parser] = {
     **dict.fromkeys("txt log conf ini cfg yaml yml json toml xml css rst".split(), plain), **dict.fromkeys(("md", "markdown"), markdown), **dict.fromkeys(("html", "htm", "xhtml"), web_page), "py": python_code,
-    **{e: other_code(lang) for lang, es in lexers.ENDINGS.items() for e in es.split()}, "csv": table_text, "tsv": table_text, "xlsx": spreadsheet, "docx": zipped_xml(r"word/document\.xml", "}p", "}t"), "odt": zipped_xml(r"content\.xml", "}p", "}p"),
-    "pptx": zipped_xml(r"ppt/slides/slide\d+\.xml", "}p", "}t", "Slide"), "epub": book, "pdf": pdf_pages, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz"), archive),
+    **{e: other_code(lang) for lang, es in lexers.ENDINGS.items() for e in es.split()}, "csv": table_text, "tsv": table_text, "xlsx": spreadsheet, "docx": zipped_xml(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml", "}p", "}t"), "ods": open_spreadsheet, "odt": zipped_xml(r"content\.xml", "}p", "}p"),
+    **dict.fromkeys(("pptx", "ppsx"), slides), "epub": book, "pdf": pdf_pages, "ipynb": notebook, "eml": message, "org": outline, "svg": drawing, "rtf": rich_text, **dict.fromkeys(("zip", "tar", "tgz"), archive),
     **dict.fromkeys("so dylib exe wasm jar o".split(), compiled), **dict.fromkeys("jpg jpeg png gif webp heic heif tiff tif bmp cr2 nef arw dng".split(), picture),
 }
 
