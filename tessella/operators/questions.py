@@ -70,6 +70,7 @@ def rendered(ledger: DataFrame) -> DataFrame:
     exact = F.get_json_object("params", "$.exact") == "true"
     alike = F.when(exact, "Their content fingerprints are identical.").otherwise(_all("Their summaries are ~", _percent(F.get_json_object("params", "$.similarity")), "% similar."))
     language = F.coalesce(F.get_json_object("params", "$.language"), auto, F.lit("?"))
+    # The words of each type's title and detail.
     texts = {
         "classification": (
             _all(subject, " looks like ", category, " (", sure, "%)"),
