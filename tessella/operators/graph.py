@@ -64,13 +64,31 @@ def import_candidates(caller: Column, ref: Column) -> Column:
 
 
 def imported(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(from_path, target): files (path) that an import of a file may mean. Suffixes meet whole tails of paths, by equality."""
-    found = edges.where("kind = 'imports'").select("from_path", F.explode(import_candidates(F.col("from_path"), F.col("to_ref"))).alias("c")).select("from_path", "c.how", "c.what").distinct()
+    """(from_path, target): files (path) that an import of a file may mean. Suffixes meet whole tails of paths, by equality.
+
+    What an import may mean hangs on the caller's directory (and on whether it is mod.rs), not on the caller, so candidates are made
+    once for each directory and name, and only the files found are dealt to callers."""
+    caller = F.col("from_path")
+    here = F.concat(F.regexp_replace(caller, "/[^/]*$", ""), F.lit("/"), F.when(F.endswith(caller, F.lit("/mod.rs")), "mod.rs").otherwise(""))
+    asked = edges.where("kind = 'imports'").select("from_path", here.alias("here"), "to_ref")
+    found = asked.select("here", "to_ref").distinct().select("here", "to_ref", F.explode(import_candidates(F.col("here"), F.col("to_ref"))).alias("c")).select("here", "to_ref", "c.how", "c.what")
     parts = F.split("path", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, -n, n), "/")))
     by_tail = files.where(F.contains("path", F.lit("/"))).select("path", F.explode(tails).alias("what"))
-    exact = found.where("how = 'path'").join(files.select(F.col("path").alias("what")), "what").select("from_path", F.col("what").alias("target"))
-    return exact.unionByName(found.where("how = 'suffix'").join(by_tail, "what").select("from_path", F.col("path").alias("target"))).distinct()
+    exact = found.where("how = 'path'").join(files.select(F.col("path").alias("what")), "what").select("here", "to_ref", F.col("what").alias("target"))
+    meant = exact.unionByName(found.where("how = 'suffix'").join(by_tail, "what").select("here", "to_ref", F.col("path").alias("target"))).distinct()
+    meant = meant.select(F.col("here").alias("at"), F.col("to_ref").alias("ref"), "target")
+    return asked.join(meant, F.col("here").eqNullSafe(F.col("at")) & (F.col("to_ref") == F.col("ref"))).select("from_path", "target").distinct()
+
+
+def _known(calls: DataFrame, defines: DataFrame, imports: DataFrame, cap: int) -> DataFrame:
+    """(caller, symbol, known): those of a symbol's targets that a caller imports."""
+    imports = imports.where("from_path <> target").select(F.col("from_path").alias("caller"), "target")
+    # A file of few symbols meets its importers; one of many meets the calls, lest its symbols times its importers be rows.
+    many = defines.groupBy("target").count().where(F.col("count") > cap).select("target")
+    by_file = imports.join(defines.join(many, "target", "left_anti"), "target").select("caller", "symbol", "target")
+    by_call = calls.join(defines.join(many, "target", "left_semi"), "symbol").join(imports, ["caller", "target"]).select("caller", "symbol", "target")
+    return by_file.unionByName(by_call).groupBy("caller", "symbol").agg(F.collect_set("target").alias("known"))
 
 
 def resolved(edges: DataFrame, imports: DataFrame | None = None, cap: int = COMMON, drop_own: bool = True) -> DataFrame:
@@ -78,23 +96,24 @@ def resolved(edges: DataFrame, imports: DataFrame | None = None, cap: int = COMM
     all. Symbols without a definer or with more than ``cap`` don't resolve, nor do those a caller defines itself."""
     defines = edges.where("kind = 'defines'").select(F.col("to_ref").alias("symbol"), F.col("from_path").alias("target")).distinct()
     few = defines.groupBy("symbol").count().where(F.col("count") <= cap).select("symbol")
-    defines = defines.join(few, "symbol")
+    defines = defines.join(few, "symbol").where("target IS NOT NULL")
+    # ``cap`` targets at most stand in a symbol's row, so a call meets one row and becomes only those that it resolves to.
+    symbols = defines.groupBy("symbol").agg(F.collect_list(F.struct("target", paths.parent("target").alias("up"))).alias("all"))
     calls = edges.where("kind = 'calls'").select(F.col("from_path").alias("caller"), F.col("to_ref").alias("symbol")).distinct()
-    if drop_own:
-        calls = calls.join(defines.select(F.col("target").alias("caller"), "symbol"), ["caller", "symbol"], "left_anti")
-    # Directories are found for each end once, not for each pair.
-    calls, defines = calls.withColumn("__from", paths.parent("caller")), defines.withColumn("__to", paths.parent("target"))
-    pairs = calls.join(defines, "symbol").where("caller <> target")
+    rows = calls.withColumn("from", paths.parent("caller"))
     if imports is not None:
-        pairs = pairs.join(imports.select(F.col("from_path").alias("caller"), "target", F.lit(True).alias("known")).distinct(), ["caller", "target"], "left")
+        rows = rows.join(_known(calls, defines, imports, cap), ["caller", "symbol"], "left")
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast("array<string>"))
+    rows = rows.join(symbols, "symbol")
+    if drop_own:
+        rows = rows.where(~F.exists("all", lambda t: t["target"] == F.col("caller")))
     else:
-        pairs = pairs.withColumn("known", F.lit(None).cast("boolean"))
-    tried = F.when(F.col("known"), 0).when(F.col("__from") == F.col("__to"), 1).otherwise(2)
-    pairs = pairs.withColumn("__t", tried)
-    # A caller and a symbol have ``cap`` targets at most, so a window's group is small.
-    pairs = pairs.withColumn("__best", F.min("__t").over(Window.partitionBy("caller", "symbol")))
-    tier = F.when(F.col("__t") == 0, "import").when(F.col("__t") == 1, "same_dir").otherwise("bare")
-    return pairs.where("__t = __best").select("caller", "symbol", "target", tier.alias("tier"))
+        rows = rows.withColumn("all", F.filter("all", lambda t: t["target"] != F.col("caller")))
+    rows = rows.withColumn("near", F.filter("all", lambda t: t["up"] == F.col("from")))
+    tier = F.when(F.col("known").isNotNull(), "import").when(F.size("near") > 0, "same_dir").otherwise("bare")
+    met = F.when(F.col("known").isNotNull(), F.col("known")).when(F.size("near") > 0, F.col("near.target")).otherwise(F.col("all.target"))
+    return rows.select("caller", "symbol", F.explode(met).alias("target"), tier.alias("tier"))
 
 
 def tier_rank(tier: str = "tier"):

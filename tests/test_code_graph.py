@@ -69,3 +69,45 @@ def test_suggested_members(spark):
     hits = spark.createDataFrame([("/a", 3), ("/b", 1), ("/a", 2), ("/c", 4), (None, 0), ("/d", 5)], "entry_path string, rank long")
     has = spark.createDataFrame([("/b",)], "path string")
     assert [tuple(r) for r in state.suggested_members(hits, has, 2).collect()] == [("/a", 2), ("/c", 4)]
+
+
+def _by_hand(edges, imports, cap, drop_own):
+    """resolved by loops."""
+    definers, calls = {}, {(a, r) for a, kind, r in edges if kind == "calls"}
+    for a, kind, r in edges:
+        if kind == "defines":
+            definers.setdefault(r, set()).add(a)
+    out = set()
+    for caller, symbol in calls:
+        targets = definers.get(symbol, set())
+        if not targets or len(targets) > cap or (drop_own and caller in targets):
+            continue
+        targets = targets - {caller}
+        known = {t for t in targets if (caller, t) in imports}
+        near = {t for t in targets if "/" in t and t.rsplit("/", 1)[0] == caller.rsplit("/", 1)[0]}
+        out |= {(caller, symbol, t, "import" if known else "same_dir" if near else "bare") for t in known or near or targets}
+    return out
+
+
+@pytest.mark.parametrize("drop_own", [True, False])
+@pytest.mark.parametrize("cap", [2, 25])
+def test_resolved_without_pairs(spark, cap, drop_own):
+    # Files of one symbol and of more than the cap, callers that define, that lie beside and that import.
+    edges = [(f"/r/d{i % 3}/f{i % 7}", "defines", f"s{i % 11 if i % 7 else i}") for i in range(77)]
+    edges += [(f"/r/d{i % 4}/{'c' if i % 5 else 'f'}{i % 6}", "calls", f"s{i % 13}") for i in range(120)]
+    imports = {(a, f"/r/d{(i * 5) % 3}/f{i % 7}") for i, (a, kind, _) in enumerate(edges) if kind == "calls" and i % 3 == 0}
+    got = graph.resolved(spark.createDataFrame(edges, EDGE), spark.createDataFrame(sorted(imports), "from_path string, target string"), cap, drop_own)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _by_hand(edges, imports, cap, drop_own)
+    # What a call could mean is told before it becomes rows, so nothing sorts or ranks those rows again.
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_imports_asked_once_for_a_directory(spark):
+    edges = spark.createDataFrame([(f"/r/a/x{i}.ts", "imports", "./y") for i in range(50)] + [("/r/mod.rs", "imports", "super::y"), ("/r/z.rs", "imports", "super::y"), ("x.py", "imports", "b.y"), (None, "imports", "b.y")], EDGE)
+    files = spark.createDataFrame([("/r/a/y.ts",), ("/y.rs",), ("/r/y.rs",), ("/q/b/y.py",)], "path string")
+    got = graph.imported(edges, files)
+    assert {tuple(r) for r in got.collect()} == {(f"/r/a/x{i}.ts", "/r/a/y.ts") for i in range(50)} | {("/r/mod.rs", "/y.rs"), ("/r/z.rs", "/r/y.rs"), ("x.py", "/q/b/y.py"), (None, "/q/b/y.py")}
+    # Candidates are made of directories, of which there are few, not of callers.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [here" in plan
