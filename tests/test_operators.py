@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import paths, predicates, text
 from tessella.operators import chunking, classify, evaluation, export, graph, insights, retrieve, search, similar, state, tree
 from tessella.schema import SCHEMAS, empty
+from tessella.sources import shared
 
 
 def one(spark, column):
@@ -275,3 +276,19 @@ def test_actionable(spark):
     rows = [(1, "/a/x.png"), (1, "/b/x.PNG"), (2, "/a/x.rs"), (2, "/b/dist/x.rs"), (3, "/a/Cargo.toml"), (3, "/b/cargo.toml"), (4, "/a/q.rs"), (4, "/b/q.rs"), (5, None)]
     got = {r.cluster: (r.actionable, r.siblings, r.same_name, r.same_parent) for r in classify.actionable(spark.createDataFrame(rows, "cluster long, path string")).collect()}
     assert got == {1: (False, False, False, False), 2: (False, False, True, False), 3: (True, True, False, False), 4: (True, False, True, False)}
+
+
+def test_reach_of_doubled_edges(spark):
+    g = spark.createDataFrame([("/a", "/b")] * 5 + [("/b", "/c"), ("/c", "/a"), ("/c", "/d")], "source string, target string")
+    start = spark.createDataFrame([("/a",), ("/a",)], "path string")
+    assert sorted(tuple(r) for r in graph.reach(g, start, 3).collect()) == [("/b", 1), ("/c", 2), ("/d", 3)]
+
+
+def test_code_graph_in_parts(spark):
+    calls = spark.createDataFrame([(f"/c{i % 7}", f"s{i}", f"/t{i % 3}", "bare" if i % 2 else "same_dir") for i in range(60)], "caller string, symbol string, target string, tier string")
+    whole, dealt = graph.code_graph(calls), graph.code_graph(calls, parts=shared.parts(1_000_000))
+    # The parts grow in number with the rows, and callers' rows are grouped where they are dealt to.
+    assert [shared.parts(n) for n in (0, 1, 200_000, 200_001, 36_000_000)] == [1, 1, 1, 2, 180]
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(source" in plan
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
