@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import predicates
 from tessella.functions.text import is_stub, search_tokens
 from tessella.operators import search
+from tessella.sources.shared import stored
 
 FIELDS = ("text", "heading", "entry_path", "chunk_id")
 
@@ -35,15 +36,21 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def build(chunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> Index:
-    """The index of chunks (chunk_id, entry_path and the fields). Null fields have no words; a chunk without any is a row of length 0, and one without text counts as a stub."""
+    """The index of chunks (chunk_id, one row each; entry_path and the fields). Null fields have no words; a chunk without any is a row of length 0, and one without text counts as a stub."""
     words = [search_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]
     gap = F.array(F.lit(None).cast("string"))
     spaced = [words[0]]
     for w in words[1:]:
         spaced += [gap, w]
     all_words = chunks.select(F.col("chunk_id").alias("id"), F.concat(*spaced).alias("w"))
-    places = all_words.select("id", F.posexplode("w").alias("place", "term")).where("term IS NOT NULL")
-    postings = places.groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    # A chunk's words are put in order within its row, so all places of a term stand together there and no word is shuffled.
+    placed = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("place"))), lambda s: s["term"].isNotNull())
+    at = lambda i: F.get(F.col("s"), i)
+    begins = F.filter(F.transform("s", lambda s, i: i), lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"]))
+    last = lambda k: F.coalesce(F.get(F.col("begins"), k + 1), F.size("s")) - 1
+    runs = F.transform("begins", lambda b, k: F.struct(at(b)["term"].alias("term"), F.transform(F.sequence(b, last(k)), lambda i: at(i)["place"]).alias("places")))
+    rows = all_words.select("id", F.sort_array(placed).alias("s")).withColumn("begins", begins).select("id", F.explode(runs).alias("r"))
+    postings = rows.select("r.term", "id", F.size("r.places").cast("long").alias("tf"), "r.places")
     rows = chunks.select(F.col("chunk_id").alias("id"), "entry_path", F.coalesce(is_stub("text"), F.lit(True)).alias("stub"), sum((F.size(w) for w in words[1:]), F.size(words[0])).cast("long").alias("length"))
     return Index(postings, rows)
 
@@ -78,7 +85,8 @@ def sparse(index: Index, questions: DataFrame, admitted: Column | None = None, l
     words, or null, finds nothing; ties go to the smaller id. Questions that share a word share its rows, so a word that
     all ask for is as many rows as questions times chunks that hold it.
     """
-    words = asked(questions, phrased)
+    # Written, so their size is known: few questions' words are sent to the postings, which then stay where they are.
+    words = stored(asked(questions, phrased))
     met = words.join(index.postings, "term")
     once = met.where("NOT phrase").select("question", "term", "id", "tf")
     slots = met.where("phrase").groupBy("question", "id", "n").agg(F.collect_list(F.transform("places", lambda p: p - F.col("slot"))).alias("at"))

@@ -206,3 +206,19 @@ def test_reranked(spark, tables):
     for n in (1, 8):
         own = sorted((r.place, len(r.text), r.chunk_id) for r in shorter if r.question == n)
         assert [p for p, *_ in own] == list(range(len(own))) and [s for _, s, _ in own] == sorted(s for _, s, _ in own)
+
+
+def test_postings_without_a_shuffle(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "/a", "b a b", "a"), (2, "/b", None, None), (3, "/c", "é e, E", "x"), (4, "/d", " ".join(f"w{i % 300}" for i in range(5000)), "")], "chunk_id long, entry_path string, text string, heading string")
+    made = inverted.build(chunks, ("text", "heading"))
+    assert "Exchange" not in made.postings._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.id, r.term): (r.tf, list(r.places)) for r in made.postings.collect()}
+    assert {k: v for k, v in rows.items() if k[0] < 4} == {(1, "a"): (2, [1, 4]), (1, "b"): (2, [0, 2]), (3, "e"): (3, [0, 1, 2]), (3, "x"): (1, [4])}
+    assert {k[1]: v for k, v in rows.items() if k[0] == 4} == {f"w{j}": (len(range(j, 5000, 300)), list(range(j, 5000, 300))) for j in range(300)}
+    assert len(rows) == made.postings.count()
+    # A few questions' words go to the postings; all postings aren't shuffled to meet them.
+    index = made.write(str(tmp_path))
+    found = inverted.sparse(index, spark.createDataFrame([(1, "b a"), (2, "w7 w8"), (3, "x"), (4, None)], "question long, text string"))
+    assert {(r.question, r.id) for r in found.collect()} == {(1, 1), (2, 4), (3, 3)}
+    plan = inverted.sparse(index, spark.createDataFrame([(1, "b a")], "question long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [term#" not in plan and "BroadcastHashJoin [term#" in plan
