@@ -82,22 +82,34 @@ def entries(found: DataFrame, now: int, generation: int = 1) -> DataFrame:
 _PARSED = "path string, what string, seq bigint, a string, b string, language string, first bigint, last bigint"
 
 
-def parsed(found: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Rows of all that the parsers find: what is 'chunk' (heading, text), 'edge' (kind, ref) or 'symbol' (name, kind, lines)."""
-    registry = registry or Registry()
+#: Bytes of content whose parsed rows a task holds at once, but for one file's.
+HELD = 4 << 20
+
+
+def _parse(registry: Registry):
+    columns = [c.split(" ")[0] for c in _PARSED.split(", ")]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for path, data in zip(b["path"], b["content"], strict=True):
                 got = registry.parse(path, bytes(data))
                 if got:
                     rows += [(path, "chunk", i, h, t, got.language, 0, 0) for i, (h, t) in enumerate(got.chunks)]
                     rows += [(path, "edge", i, k, r, got.language, 0, 0) for i, (k, r) in enumerate(got.edges)]
                     rows += [(path, "symbol", i, n, k, got.language, s, e) for i, (n, k, s, e) in enumerate(got.symbols)]
-            yield pd.DataFrame(rows, columns=["path", "what", "seq", "a", "b", "language", "first", "last"])
+                held += len(data)
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
-    return found.select("path", "content").mapInPandas(of, _PARSED)
+    return of
+
+
+def parsed(found: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Rows of all that the parsers find: what is 'chunk' (heading, text), 'edge' (kind, ref) or 'symbol' (name, kind, lines)."""
+    return found.select("path", "content").mapInPandas(_parse(registry or Registry()), _PARSED)
 
 
 def chunks(rows: DataFrame) -> DataFrame:

@@ -128,3 +128,15 @@ def test_answers(spark):
     pool = lambda q: spark.createDataFrame([(1, "a", 0.5), (len(q), "b", 0.4)], "chunk_id long, text string, score double")
     follow = iter(["second question", "DONE"])
     assert {r.chunk_id for r in answers.hops("first", pool, lambda q, t: next(follow)).collect()} == {1, 5, 15}
+
+
+def test_parsed_rows_leave_by_bytes():
+    import pandas as pd
+
+    page = b"# Title\n\n" + b"word " * 100_000
+    given = pd.DataFrame({"path": [f"/p{i}.md" for i in range(40)], "content": [page] * 40})
+    got = list(ingest._parse(ingest.Registry())(iter([given])))
+    # One frame of all 20 MB before.
+    assert len(got) > 4 and {p for f in got for p in f["path"]} == set(given["path"])
+    whole = list(ingest._parse(ingest.Registry())(iter([given[i : i + 1] for i in range(40)])))
+    assert pd.concat(got, ignore_index=True).equals(pd.concat([f for f in whole if len(f)], ignore_index=True))
