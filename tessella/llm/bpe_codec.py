@@ -12,11 +12,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, text_or_empty
 from tessella.llm.token_ids import SLICE_BYTES, byte_letters
 
-CACHE_ENTRIES = 400_000
+#: Entries of a generation that a worker keeps of chunks and of words, of each of which there are two, and the longest that it keeps.
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 48
+#: Pairs of tokens whose compatibility a worker keeps.
+CACHE_PAIRS = 800_000
 
 # Unicode's White_Space, and the pattern of the byte-level pre-tokenizer.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,15 +73,20 @@ class BytePairCodec:
             self.shorter[i] = next((self.vocab[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.vocab), None)
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, bytes]] = {}
+        # What encode has made lately and before: the ids of chunks, without the space that stands before each, and of words.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         spelled = [b""] * size
         for s, i in self.vocab.items():
             spelled[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
         for s, i in self.special.items():
             spelled[i] = s.encode()
-        self.letters_of = np.frombuffer(b"".join(spelled), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
+        # Tables by id, one run of bytes with each token's offset: what it spells, and its number before a comma.
+        self.spelled = pa.array(spelled, pa.large_binary())
+        self.numbers = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their bytes are merged together.
@@ -102,7 +112,7 @@ class BytePairCodec:
                 until, left = a, halves[left][1]
             else:
                 until, right = b + 1, halves[right][0]
-        if len(self.fits) > 2 * CACHE_ENTRIES:
+        if len(self.fits) > CACHE_PAIRS:
             self.fits.clear()
         self.fits[key] = answer
         return answer
@@ -114,14 +124,20 @@ class BytePairCodec:
         for end, (i, size) in self.automaton.iter(word):
             longest[end + 1 - size] = i  # ends only grow, so the longest is the last
         out: list[int] = []
+        length, shorter, fits = self.length, self.shorter, self.fits
         dead = bytearray(n + 1)
         at, token = 0, longest[0] if n else None
         while at < n:
             while token is not None:
-                to = at + self.length[token]
-                if not dead[to] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                to = at + length[token]
+                if not dead[to]:
+                    if not out:
+                        break
+                    if (fit := fits.get((out[-1], token))) is None:
+                        fit = self.compatible(out[-1], token)
+                    if fit:
+                        break
+                token = shorter[token]
             if token is None:
                 if not out:
                     raise ValueError("a byte of the text isn't in the vocabulary")
@@ -135,56 +151,102 @@ class BytePairCodec:
                 token = longest[at] if at < n else None
         return out
 
-    def _pretokens(self, chunk: str) -> list[str]:
-        if _LATER.search(chunk):
-            return [s for s, _ in self.library.pre_tokenize_str(chunk)]
-        letters = self.letters
-        if chunk.isascii():
-            return ["".join([letters[ord(c)] for c in m]) for m in _PATTERN.findall(chunk)]
-        return ["".join([letters[b] for b in m.encode()]) for m in _PATTERN.findall(chunk)]
-
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
-        ids = [i for p in self._pretokens(chunk) for i in self.encode_word(p)]
-        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
-
-    def _plain(self, text: str) -> list[str]:
-        """text in chunks whose tokens don't depend on what surrounds them: between two of them stand a
-        character that isn't white space and one that is."""
-        if not text:
-            return []
-        if _TWO_WHITE.search(text):
-            return _CHUNK.findall(text)
-        head, *rest = text.split(" ")
-        return [*([head] if head else ()), *[" " + x for x in rest]]
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-token as it stands in the text."""
+        if (ids := self.words.get(word)) is not None:
+            return ids
+        if (ids := self.older_words.get(word)) is None:
+            letters = self.letters
+            ids = array("I", self.encode_word("".join([letters[b] for b in word.encode()]))).tobytes()
+        if len(word) <= CACHE_CHARS:
+            self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and _LATER.search(chunk):
+            ids = [i for p, _ in self.library.pre_tokenize_str(chunk) for i in self.encode_word(p)]
+            return array("I", ids).tobytes()
+        return b"".join(map(self._word, _PATTERN.findall(chunk)))
+
+    def _after_space(self, chunk: str) -> bytes:
+        """The ids of a chunk with the space that stands before it and isn't given."""
+        if (ids := self.known.get(chunk)) is not None:
+            return ids
+        if (ids := self.older.get(chunk)) is None:
+            ids = self._chunk(" " + chunk)
+        if len(chunk) < CACHE_CHARS:
+            self.known[chunk] = ids
+        return ids
+
+    def _strange(self, text: str) -> bytes:
+        """The ids of a text with special tokens, or with white space beside white space."""
+        out = []
+        parts = self.at_special.split(text) if self.at_special else [text]
+        for part in parts:
+            if part in self.special:
+                out.append(array("I", [self.special[part]]).tobytes())
+                continue
+            # The ids of a chunk don't depend on what surrounds it: between two of them stand a character that isn't white space
+            # and one that is.
+            out += [self._after_space(c[1:]) if c[0] == " " else self._chunk(c) for c in _CHUNK.findall(part)]
+        return b"".join(out)
+
+    def _turn(self) -> None:
+        """Lets what wasn't used for a generation go."""
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.older = {}, self.known
+        if len(self.words) > CACHE_ENTRIES:
+            self.words, self.older_words = {}, self.words
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, unsigned 32-bit, and where each text's begin, and one beyond the last's.
+
+        Texts are split at spaces by Arrow, and each distinct chunk of a call is looked up once. What stands before a text's first
+        space has none before it, and texts that have white space beside white space or special tokens are split here.
+        """
+        self._turn()
+        special = self.at_special
+        plain = [not (_TWO_WHITE.search(t) or special and special.search(t)) for t in texts]
+        chunks = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        first = chunks.offsets.to_numpy()
+        heads = coded.take(pa.array(first[:-1])).to_pylist()
+        ids = list(map(self._after_space, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        at = coded.indices.to_numpy().copy()
+        at[first[:-1]] = np.arange(len(ids), len(ids) + len(texts))
+        ids += [self._chunk(h) if p else self._strange(t) for h, t, p in zip(heads, texts, plain, strict=True)]
+        found = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        return np.frombuffer(_bytes(found), "<u4"), _offsets(found)[first] // 4
 
     def encode(self, text: str) -> tuple[str, np.ndarray]:
         """The ids of a whole text, as decimal numbers joined by commas and as an array."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        known, found = self.known, []
-        parts = self.at_special.split(text) if self.at_special and self.at_special.search(text) else (text,)
-        for part in parts:
-            if part in self.special and len(parts) > 1:
-                i = self.special[part]
-                found.append((str(i), np.array([i], "<u4").tobytes()))
-                continue
-            for c in self._plain(part):
-                got = known.get(c)
-                if got is None:
-                    got = self._chunk(c)
-                    if len(c) <= CACHE_CHARS:
-                        known[c] = got
-                found.append(got)
-        return ",".join([x[0] for x in found]), np.frombuffer(b"".join([x[1] for x in found]), "<u4")
+        ids, _ = self.encode_all([text])
+        return bytes(self.decimal(ids)[0][:-1]).decode(), ids
+
+    def decimal(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The ids as decimal numbers, each with a comma behind it, and where each begins, and one beyond the last."""
+        found = self.numbers.take(pa.array(ids))
+        return _bytes(found), _offsets(found)
+
+    def spell(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes that the ids spell, gathered from one table by each token's offset, and where each token's begin, and one beyond the last's."""
+        found = self.spelled.take(pa.array(ids))
+        return _bytes(found), _offsets(found)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that the ids spell: gathered from one table by each token's offset."""
-        if not len(ids):
-            return b""
-        start = self.offsets[ids]
-        size = self.offsets[ids + 1] - start
-        end = np.cumsum(size)
-        return self.letters_of[np.arange(end[-1]) + np.repeat(start - (end - size), size)].tobytes()
+        """The bytes that the ids spell."""
+        return bytes(self.spell(ids)[0])
+
+
+def _offsets(values: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value begins in an array that isn't a slice, and one beyond the last."""
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1) if len(values) else np.zeros(1, np.int64)
+
+
+def _bytes(values: pa.LargeBinaryArray) -> memoryview:
+    """The values of an array that isn't a slice, one after the other."""
+    data = values.buffers()[2]
+    return memoryview(data or b"")[: int(_offsets(values)[-1])]
 
 
 _CODECS: dict[str, BytePairCodec] = {}
@@ -207,10 +269,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in cut(batches, 1, SLICE_BYTES):
-            ids = [own.encode(t)[1] for t in b.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
+            ids, ends = own.encode_all(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(of, "doc_id long, n_tokens long, ids array<int>")
 
@@ -233,14 +293,14 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in cut(batches, 1, SLICE_BYTES):
-            rows = []
-            for t in b.column(1).to_pylist():
-                decimal, ids = own.encode(t)
-                back = own.decode(ids).decode("utf-8", "replace").encode()
-                rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
-            n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
+            ids, ends = own.encode_all(b.column(1).to_pylist())
+            decimal, numbers = own.decimal(ids)
+            back, tokens = own.spell(ids)
+            bounds = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            ids_sha = [hashlib.sha256(decimal[numbers[i] : max(numbers[i], numbers[j] - 1)]).hexdigest() for i, j in bounds]
+            text_sha = [hashlib.sha256(str(back[tokens[i] : tokens[j]], "utf-8", "replace").encode()).hexdigest() for i, j in bounds]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                [b.column(0), pa.array(np.diff(ends)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

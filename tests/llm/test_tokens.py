@@ -121,3 +121,24 @@ def test_crossover_keeps_every_piece():
     assert sorted(i for b in child for i in b) == order and all(sum(sizes[i] for i in b) <= 100 for b in child)
     best = packing.evolve(sizes, 100, 1, [one, other])
     assert len(best) <= min(len(one), len(other))
+
+
+def test_codec_of_many_texts(texts, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CACHE_ENTRIES", 300)
+    library, own = Tokenizer.from_file(BYTES), bpe_codec.BytePairCodec(BYTES)
+    rows = [*texts, " a", "a ", " ", "", "a b", "a b ", " été,\nété. été", "<|endoftext|> a", "a  b <|endoftext|>"]
+    for i in range(0, len(rows), 100):
+        ids, bounds = own.encode_all(rows[i : i + 100])
+        for t, k, n in zip(rows[i : i + 100], bounds[:-1], bounds[1:], strict=True):
+            assert ids[k:n].tolist() == library.encode(t, add_special_tokens=False).ids
+    ids, bounds = own.encode_all([])
+    assert (ids.tolist(), bounds.tolist()) == ([], [0])
+
+
+def test_codec_encodes_a_word_once(monkeypatch):
+    own, seen = bpe_codec.BytePairCodec(BYTES), collections.Counter()
+    plain = own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda w: seen.update([w]) or plain(w))
+    for text in ("x therinsh, therinsh. therinsh", "y therinsh! (therinsh) therinsh\nz", "two  spaces therinsh?"):
+        own.encode(text)
+    assert seen["Ġtherinsh"] == 1
