@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import paths, predicates
-from tessella.sources.shared import cut
+from tessella.sources.shared import cut, stored
 
 COMMON = 25
 #: How a call was resolved, best first when several calls meet; and the order in which ways are tried.
@@ -180,10 +180,14 @@ def reach(graph: DataFrame, start: DataFrame, depth: int, forward: bool = True)
     return seen.where("hop > 0")
 
 
-def callers_of(edges: DataFrame, symbol: str, imports: DataFrame | None = None, limit: int = 25) -> DataFrame:
-    """(path, tier) of the first callers of a symbol by path: how the call of each finds a definition."""
+def callers_of(edges: DataFrame, symbol: str, imports: DataFrame | None = None, limit: int = 25, files: DataFrame | None = None) -> DataFrame:
+    """(path, tier) of the first callers of a symbol by path: how the call of each finds a definition. What they import is given
+    (``imported``'s rows), or files (path) are, and then only these callers' imports are told."""
     calls = edges.where((F.col("kind") == "calls") & (F.col("to_ref") == symbol)).select(F.col("from_path").alias("path")).distinct().orderBy("path").limit(limit)
     # At most ``limit`` callers, whatever the number of definers.
+    if imports is None and files is not None:
+        calls = stored(calls)
+        imports = imported(stored(edges.where("kind = 'imports'").join(F.broadcast(calls), F.col("from_path") == F.col("path"), "left_semi")), files)
     calls = F.broadcast(calls)
     at = edges.where((F.col("kind") == "defines") & (F.col("to_ref") == symbol)).select(F.col("from_path").alias("target")).distinct()
     own = at.join(calls, F.col("target") == F.col("path")).select("path", F.lit(1).alias("t"))
@@ -196,10 +200,11 @@ def callers_of(edges: DataFrame, symbol: str, imports: DataFrame | None = None,
     return rows.groupBy("path").agg(tier.alias("tier"))
 
 
-def symbol_context(edges: DataFrame, symbols: DataFrame, notes: DataFrame, symbol: str, imports: DataFrame | None = None, limit: int = 25, most: int = 20) -> DataFrame:
+def symbol_context(edges: DataFrame, symbols: DataFrame, notes: DataFrame, symbol: str, imports: DataFrame | None = None, limit: int = 25, most: int = 20, files: DataFrame | None = None) -> DataFrame:
     """(section, item, detail, first, last) of all that is known about a symbol: 'defined' (a file; what it is and its lines),
     'called' (a file, the tier), 'extended' and 'implemented' (a file), 'imports' and 'calls' (the first names that the defining files
-    use), 'note' (a note's path, its title). edges may be narrowed by answers first. Empty where nothing defines the symbol."""
+    use), 'note' (a note's path, its title). edges may be narrowed by answers first, and repeated ones count once. imports or files: as of
+    ``callers_of``. Empty where nothing defines the symbol."""
     none = F.lit(None)
     row = lambda df, section, item, detail=none, first=none, last=none: df.select(
         F.lit(section).alias("section"), F.col(item).alias("item"), detail.cast("string").alias("detail"), first.cast("long").alias("first"), last.cast("long").alias("last")
@@ -208,7 +213,7 @@ def symbol_context(edges: DataFrame, symbols: DataFrame, notes: DataFrame, symbo
     # Of several symbols of the name in one file the first by its lines.
     spans = symbols.where(F.col("name") == symbol).groupBy("path").agg(F.min(F.struct("start_line", "end_line", "kind")).alias("s"))
     out = row(at.join(spans, "path", "left").select("path", "s.*"), "defined", "path", F.col("kind"), F.col("start_line"), F.col("end_line"))
-    out = out.unionByName(row(callers_of(edges, symbol, imports, limit), "called", "path", F.col("tier")))
+    out = out.unionByName(row(callers_of(edges, symbol, imports, limit, files), "called", "path", F.col("tier")))
     for section, kind in (("extended", "extends"), ("implemented", "implements")):
         out = out.unionByName(row(incoming(edges, kind, symbol), section, "from_path"))
     used = edges.where("kind IN ('imports', 'calls')").join(at.withColumnRenamed("path", "from_path"), "from_path", "left_semi").select("kind", "to_ref").distinct()

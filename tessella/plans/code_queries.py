@@ -22,7 +22,8 @@ tried AS (SELECT p.*, CASE WHEN i.target IS NOT NULL THEN 0 WHEN beside THEN 1 E
 resolved AS (SELECT caller, symbol, target, ['import', 'same_dir', 'bare'][t + 1] AS tier FROM tried QUALIFY t = min(t) OVER (PARTITION BY caller, symbol))"""
 
 
-def _edges(spark, sf):
+def _written(spark, sf):
+    """The edges as they are written, some of them repeated."""
     part = views.table(spark, sf, "part")
     name = lambda c: F.concat(F.lit("k"), (F.col(c) % 50).cast("string"))
     ending = F.element_at(F.array(*map(F.lit, ("ts", "py", "rs"))), (F.col("p_partkey") % 3 + 1).cast("int"))
@@ -37,12 +38,20 @@ def _edges(spark, sf):
         ref = F.when(form == n, way).otherwise(ref)
     imports = line.select(path.alias("from_path"), F.lit("imports").alias("kind"), ref.alias("to_ref"))
     calls = line.select(path.alias("from_path"), F.lit("calls").alias("kind"), F.concat(F.lit("s"), k).alias("to_ref"))
+    return defines.unionByName(imports).unionByName(calls)
+
+
+def _edges(spark, sf):
     # Read several times by what follows: once written, the tables are read once.
-    return stored(defines.unionByName(imports).unionByName(calls).distinct())
+    return stored(_written(spark, sf).distinct())
+
+
+def _files(edges):
+    return edges.where("kind = 'defines'").select(F.col("from_path").alias("path")).distinct()
 
 
 def _imports(edges):
-    return graph.imported(edges, edges.where("kind = 'defines'").select(F.col("from_path").alias("path")).distinct())
+    return graph.imported(edges, _files(edges))
 
 
 @query("join09_imported", f"WITH {_CODE} SELECT * FROM imported")
@@ -61,10 +70,11 @@ SELECT 'defined' AS section, path AS item, 'fn' AS detail, length(path) AS first
 UNION ALL SELECT 'called', path, min(tier), NULL, NULL FROM callers JOIN resolved ON caller = path AND symbol = 'sk7' GROUP BY path
 UNION ALL SELECT 'note', item, detail, NULL, NULL FROM n""")
 def _(spark, sf):
-    edges = _edges(spark, sf)
+    # One symbol takes few edges, so the tables are read through filters and nothing of them is grouped or written whole.
+    edges = _written(spark, sf)
     at = edges.where("kind = 'defines'").select(F.col("from_path").alias("path"), F.col("to_ref").alias("name"), F.lit("fn").alias("kind"), F.length("from_path").alias("start_line"), (F.length("from_path") + 5).alias("end_line"))
     notes = views.table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("/n/"), F.col("n_nationkey").cast("string")).alias("note_path"), F.lit("sk7").alias("anchor"), F.col("n_name").alias("title"))
-    return graph.symbol_context(edges, at, notes, "sk7", _imports(edges))
+    return graph.symbol_context(edges, at, notes, "sk7", files=_files(edges))
 
 
 @query("strf11_api_surface", """WITH d AS (SELECT DISTINCT '/o' || l_suppkey AS path, CASE WHEN l_linenumber = 7 THEN 'get_' ELSE 'p' END || l_partkey AS name FROM lineitem)

@@ -111,3 +111,19 @@ def test_imports_asked_once_for_a_directory(spark):
     # Candidates are made of directories, of which there are few, not of callers.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [here" in plan
+
+
+def test_symbol_context_tells_its_callers_imports_alone(spark, monkeypatch):
+    rows = [("/r/a/def.py", "defines", "mint"), ("/r/b/def.py", "defines", "mint"), ("/r/c/one.py", "calls", "mint"), ("/r/c/one.py", "imports", "a.def"), ("/r/c/two.py", "calls", "mint"), ("/r/b/three.py", "calls", "mint")]
+    rows += [(f"/r/z/f{i}.py", k, ref) for i in range(50) for k, ref in (("imports", "a.def"), ("calls", "burn"))]
+    edges = spark.createDataFrame(rows + rows[:6], "from_path string, kind string, to_ref string")
+    files = spark.createDataFrame([("/r/a/def.py",), ("/r/b/def.py",)], "path string")
+    symbols = spark.createDataFrame([("/r/a/def.py", "mint", "fn", 1, 2)], "path string, name string, kind string, start_line long, end_line long")
+    notes = spark.createDataFrame([], "note_path string, anchor string, title string")
+    want = graph.symbol_context(edges.distinct(), symbols, notes, "mint", graph.imported(edges.distinct(), files)).collect()
+    asked, whole = [], graph.imported
+    monkeypatch.setattr(graph, "imported", lambda e, f: asked.extend(e.collect()) or whole(e, f))
+    got = graph.symbol_context(edges, symbols, notes, "mint", files=files).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {(r["item"], r["detail"]) for r in got if r["section"] == "called"} == {("/r/c/one.py", "import"), ("/r/c/two.py", "bare"), ("/r/b/three.py", "same_dir")}
+    assert {r["from_path"] for r in asked} == {"/r/c/one.py"}
