@@ -134,4 +134,4 @@ def folded(text: Column | str) -> Column:
 
 def search_tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits without marks."""
-    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")

@@ -35,7 +35,8 @@ def query_terms(question: str) -> tuple[list[str], list[str]]:
 def postings(chunks: DataFrame, id_column: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, length). Written once, they serve any number of queries."""
     tokens = chunks.select(F.col(id_column).alias("id"), search_tokens(F.col(text)).alias("w"))
-    return tokens.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")), tokens.select("id", F.size("w").cast("long").alias("length"))
+    # Spark filters what ``explode`` takes by its size beforehand, and so would split each text three times; the outer one goes without.
+    return tokens.select("id", F.explode_outer("w").alias("term")).where("term IS NOT NULL").groupBy("term", "id").agg(F.count("*").alias("tf")), tokens.select("id", F.size("w").cast("long").alias("length"))
 
 
 def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], limit: int = ARM) -> DataFrame:

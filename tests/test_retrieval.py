@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import ann, batch, evaluation, retrieve
+from tessella.operators import ann, batch, evaluation, retrieve, search
 from tessella.operators import index as inverted
 from tessella.sources.shared import stored
 
@@ -222,3 +222,11 @@ def test_postings_without_a_shuffle(spark, tmp_path):
     assert {(r.question, r.id) for r in found.collect()} == {(1, 1), (2, 4), (3, 3)}
     plan = inverted.sparse(index, spark.createDataFrame([(1, "b a")], "question long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [term#" not in plan and "BroadcastHashJoin [term#" in plan
+
+
+def test_postings_split_each_text_once(spark):
+    rows = [(1, "Été, été x1"), (2, None), (3, ""), (4, " - "), (1, "x1"), (None, "a")]
+    index, lengths = search.postings(spark.createDataFrame(rows, "id long, text string"))
+    assert sorted(map(str, map(tuple, index.collect()))) == ["('a', None, 1)", "('ete', 1, 2)", "('x1', 1, 2)"]
+    assert sorted((r["id"] or 0, r["length"]) for r in lengths.where("id IS NULL OR id > 2 OR id = 1").collect()) == [(0, 1), (1, 1), (1, 3), (3, 0), (4, 0)]
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
