@@ -1,9 +1,12 @@
 """What imports mean, who calls a symbol and what is known about it, by literal cases."""
 
+import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from tessella.functions import paths
 from tessella.operators import graph, state
+from tessella.sources import views
 
 JS = graph.JS_ENDINGS
 EDGE = "from_path string, kind string, to_ref string"
@@ -127,3 +130,60 @@ def test_symbol_context_tells_its_callers_imports_alone(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert {(r["item"], r["detail"]) for r in got if r["section"] == "called"} == {("/r/c/one.py", "import"), ("/r/c/two.py", "bare"), ("/r/b/three.py", "same_dir")}
     assert {r["from_path"] for r in asked} == {"/r/c/one.py"}
+
+
+def modularity(edges, of):
+    """Of calls and of links of one within directories, where ``of`` tells a file's community."""
+    links = [(a, b, max(w, 1)) for a, b, w in edges]
+    links += [(a, b, 1) for a in of for b in of if a < b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]]
+    degree = {}
+    for a, b, w in links:
+        degree[of[a]] = degree.get(of[a], 0) + w
+        degree[of[b]] = degree.get(of[b], 0) + w
+    whole = sum(degree.values())
+    return sum(2 * w for a, b, w in links if of[a] == of[b]) / whole - sum((d / whole) ** 2 for d in degree.values())
+
+
+def test_modules_of_many_files(spark):
+    rng = np.random.default_rng(3)
+    names = [f"/d{i // 3:04d}/f{i:05d}" for i in range(1600)]
+    rows = [(names[i], names[j], 3) for i in range(1600) for j in range(i // 8 * 8, i) if rng.random() < 0.7]
+    rows += [(names[i], names[j], 1) for i, j in rng.integers(0, 1600, (500, 2)).tolist() if i != j]
+    g = spark.createDataFrame(rows, "source string, target string, weight long")
+    got = graph.modules(g).collect()
+    of = {r.path: r.module_id for r in got}
+    files = sorted({p for a, b, _ in rows for p in (a, b)})
+    assert sorted(r.path for r in got) == files and len(files) > 1500
+    at = {p: i for i, p in enumerate(files)}
+    beside = [(at[a], at[b], 1) for a in files for b in files if a < b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]]
+    order = graph.louvain(len(files), [(at[a], at[b], w) for a, b, w in rows] + beside)
+    assert modularity(rows, of) > modularity(rows, dict(zip(files, order, strict=True))) - 0.01
+    members, inside = {}, {}
+    for p in files:
+        members.setdefault(of[p], []).append(p)
+    for a, b in {(min(a, b), max(a, b)) for a, b, _ in rows}:
+        inside[of[a]] = inside.get(of[a], 0) + (of[a] == of[b])
+    assert sorted(members, key=lambda m: (-len(members[m]), members[m][0])) == list(range(len(members)))
+    for r in got:
+        k = len(members[r.module_id])
+        assert r.size == k and abs(r.cohesion - (2 * inside.get(r.module_id, 0) / (k * (k - 1)) if k > 1 else 1.0)) < 1e-9
+
+
+@pytest.mark.parametrize("most", [1500, 0])
+def test_modules_of_two_triangles(spark, most):
+    """One after the other or all at once; a link of a file with itself makes it a file and nothing more."""
+    rows = [("/a/x", "/b/y", 1), ("/b/y", "/c/z", 1), ("/c/z", "/a/x", 1), ("/d/u", "/e/v", 1), ("/e/v", "/f/w", 2), ("/d/u", "/f/w", 0), ("/c/z", "/d/u", 1), ("/g/t", "/g/t", 1)]
+    g = spark.createDataFrame(rows, "source string, target string, weight long")
+    got = {(r.path, r.module_id, r.cohesion, r.size) for r in graph.modules(g, most).collect()}
+    assert got == {*((p, 0, 1.0, 3) for p in ("/a/x", "/b/y", "/c/z")), *((p, 1, 1.0, 3) for p in ("/d/u", "/e/v", "/f/w")), ("/g/t", 2, 1.0, 1)}
+    assert graph.modules(g.where("false"), most).count() == 0
+
+
+def test_modules_query_reads_the_whole_graph(spark, sf):
+    links = {(r.source, r.target) for r in graph.code_graph(graph.resolved(views.calls(spark, sf))).collect()}
+    got = entry.queries()["grf11_modules"](spark, sf).collect()
+    of = {r.path: r.module_id for r in got}
+    assert len(got) == len(of) and of.keys() == {p for link in links for p in link}
+    inside = len({frozenset(link) for link in links if of[link[0]] == of[link[1]]})
+    modules = {r.module_id: r.cohesion * r.size * (r.size - 1) / 2 for r in got if r.size > 1}
+    assert len(links) > 400 and inside > 0 and abs(sum(modules.values()) - inside) < 1e-6
